@@ -7,7 +7,7 @@ _ITEMS = r"""
 rows_ AS (
   SELECT paper_id, unnest([genes_json, diseases_json]) AS j FROM paper_entities
 ), names AS (
-  SELECT paper_id, unnest(CAST(j AS VARCHAR[])) AS x FROM rows_ WHERE json_valid(j) AND json_type(j) = 'ARRAY'
+  SELECT paper_id, unnest(CAST(CAST(j AS JSON) AS VARCHAR[])) AS x FROM rows_ WHERE json_valid(j) AND json_type(j) = 'ARRAY'
 ), items AS (
   SELECT DISTINCT paper_id, lower(regexp_replace(x, '^\s+|\s+$', '', 'g')) AS item FROM names
   WHERE regexp_replace(x, '^\s+|\s+$', '', 'g') <> ''
@@ -19,7 +19,7 @@ _TERMS = r"""
 texts AS (
   SELECT row_number() OVER () AS r, paper_id,
     lower(concat_ws(chr(10), coalesce(title, ''), coalesce(abstract, ''),
-      CASE WHEN json_valid(keywords_json) AND json_type(keywords_json) = 'ARRAY' THEN array_to_string(CAST(keywords_json AS VARCHAR[]), chr(10)) ELSE '' END)) AS t
+      CASE WHEN json_valid(keywords_json) AND json_type(keywords_json) = 'ARRAY' THEN array_to_string(CAST(CAST(keywords_json AS JSON) AS VARCHAR[]), chr(10)) ELSE '' END)) AS t
   FROM papers
 ), terms AS (
   SELECT r, paper_id, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS term FROM texts
