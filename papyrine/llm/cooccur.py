@@ -30,8 +30,9 @@ def baskets(rows: DataFrame, basket: str, lists: list[str]) -> DataFrame:
     """(basket, items): the sorted distinct items of all lists over all rows of a basket."""
     items = F.concat(*[json_strings(F.col(c)) for c in lists])
     names = F.filter(F.transform(items, lambda x: F.lower(squeeze(x))), lambda x: x.isNotNull() & (x != ""))
-    flat = rows.where(F.col(basket).isNotNull()).select(F.col(basket).alias("basket"), F.array_distinct(names).alias("names"))
-    return flat.groupBy("basket").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("items"))
+    flat = rows.where(F.col(basket).isNotNull()).select(F.col(basket).alias("basket"), F.explode_outer(F.array_distinct(names)).alias("item"))
+    # sets are merged before the shuffle, so a basket with any share of the rows is no more than its distinct items
+    return flat.groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def _pairs(items: Column) -> Column:

@@ -46,7 +46,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def record_terms(rows: DataFrame, doc: str, texts: list[str], lists: list[str]) -> DataFrame:
     """(row_key, doc, terms, tfs, length): the term counts of every distinct row, one pass, no shuffle of terms."""
     parts = [F.coalesce(F.col(c), F.lit("")) for c in texts] + [F.array_join(json_strings(F.col(c)), "\n") for c in lists]
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(rows.columns)])
+    key = F.xxhash64(*[F.col(f"`{f.name}`") for f in sorted(rows.schema, key=lambda f: f.name) if "map<" not in f.dataType.simpleString()])
     keyed = rows.select(key.alias("row_key"), F.coalesce(F.col(doc), F.concat(F.lit("\x00"), key.cast("string"))).alias("doc"), F.concat_ws("\n", *parts).alias("text"))
     keyed = keyed.withColumn("text", F.regexp_replace("text", "\x00", " "))
     counted = keyed.mapInPandas(_count, "row_key long, doc string, terms array<string>, tfs array<int>, length int")
