@@ -48,9 +48,11 @@ def token_spans(text: Column) -> Column:
 
 
 def _gram(n: int) -> Callable[[Column], Column]:
-    """The n tokens from a position on: name with # for numbers, and the span."""
+    """The n tokens from a position on: names as they are and with # for numbers, and the span."""
+    plain = lambda x: F.lower(x["token"])
     typed = lambda x: F.when(x["token"].rlike(r"^\d+$"), "#").otherwise(F.lower(x["token"]))
-    return lambda i: F.struct(F.array_join(F.transform(F.slice("t", i, n), typed), " ").alias("name"), F.element_at("t", i)["start"].alias("start_char"), F.element_at("t", i + (n - 1))["end"].alias("end_char"))
+    joined = lambda i, form: F.array_join(F.transform(F.slice("t", i, n), form), " ")
+    return lambda i: F.struct(F.array_distinct(F.array(joined(i, plain), joined(i, typed))).alias("names"), F.element_at("t", i)["start"].alias("start_char"), F.element_at("t", i + (n - 1))["end"].alias("end_char"))
 
 
 def dictionary_mentions(docs: DataFrame, patterns: DataFrame, most_tokens: int = MOST_TOKENS) -> DataFrame:
@@ -70,7 +72,7 @@ def dictionary_mentions(docs: DataFrame, patterns: DataFrame, most_tokens: int =
         every = every.unionByName(g)
     table = patterns.select("name", "label").distinct()
     table = F.broadcast(table) if small(table, BROADCAST_NAMES) else table
-    hit = every.select("paper_id", "body", "g.*").join(table, "name")
+    hit = every.select("paper_id", "body", F.explode("g.names").alias("name"), "g.start_char", "g.end_char").join(table, "name")
     text = canonical_entity(F.substring("body", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")))
     return hit.select("paper_id", text.alias("text"), "label", F.lit("ruler").alias("source"), "start_char", "end_char")
 

@@ -300,8 +300,10 @@ _NAMES = ", ".join(f"('{n.replace(chr(39), chr(39) * 2)}', '{t}')" for t, ns in
 @query(
     f"""WITH {PAPERS}, names(name, label) AS (VALUES {_NAMES}),
 t AS (SELECT source || ':' || paper_id AS doc, list_filter(regexp_extract_all({_TRIM.format("coalesce(title, '') || '. ' || coalesce(abstract, '')")}, '(''s\\b|[\\p{{L}}\\p{{N}}]+|\\s+|[^\\p{{L}}\\p{{N}}\\s])'), lambda x: NOT regexp_matches(x, '^\\s')) AS toks FROM p),
-w AS (SELECT doc, list_transform(toks, lambda x: CASE WHEN regexp_full_match(x, '\\d+') THEN '#' ELSE lower(x) END) AS k FROM t),
-g AS (SELECT doc, unnest(k) AS name FROM w UNION ALL SELECT doc, unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) FROM w WHERE len(k) > 1 UNION ALL SELECT doc, unnest(list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2])) FROM w WHERE len(k) > 2)
+w AS (SELECT doc, list_transform(toks, lambda x: lower(x)) AS p, list_transform(toks, lambda x: CASE WHEN regexp_full_match(x, '\\d+') THEN '#' ELSE lower(x) END) AS k FROM t),
+g AS (SELECT doc, unnest(flatten(list_transform(range(1, len(k) + 1), lambda i: list_distinct([k[i], p[i]])))) AS name FROM w
+  UNION ALL SELECT doc, unnest(flatten(list_transform(range(1, len(k)), lambda i: list_distinct([k[i] || ' ' || k[i + 1], p[i] || ' ' || p[i + 1]])))) FROM w WHERE len(k) > 1
+  UNION ALL SELECT doc, unnest(flatten(list_transform(range(1, len(k) - 1), lambda i: list_distinct([k[i] || ' ' || k[i + 1] || ' ' || k[i + 2], p[i] || ' ' || p[i + 1] || ' ' || p[i + 2]])))) FROM w WHERE len(k) > 2)
 SELECT name, label, count(*) AS mentions, count(DISTINCT doc) AS papers FROM g JOIN names USING (name) GROUP BY 1, 2"""
 )
 def dictionary_mentions(spark: SparkSession, d: str) -> DataFrame:
