@@ -89,6 +89,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return vectors.mutual(vectors.expanded(near, members, 5), 0.85).select("paper_id_a", "paper_id_b")
 
 
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar papers of every paper whose number is divisible by 100, against all papers."""
+    vecs = vectors.usable(table(spark, d, "embedding_cache"), "paper_id", "model_id", "vector_blob", DIM)
+    reps, members = vectors.classes(vecs, 5)
+    asked = members.where(F.regexp_extract("id", r"(\d+)(?:v\d+)?$", 1).try_cast("long") % 100 == 0).select("key", "id")
+    near = vectors.neighbours(reps, 5, dim=DIM, queries=asked)
+    found = vectors.expanded(near, members, 5)
+    return found.join(asked.select(F.col("id").alias("id_a")).distinct(), "id_a", "left_semi").select(F.col("id_a").alias("paper_id"), F.col("id_b").alias("neighbour"), F.round("sim", 4).alias("cosine"))
+
+
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(packing.token_sizes(table(spark, d, "documents")))
 
@@ -111,4 +121,4 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(truncation.judged(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_records, p3_found, p3_scores, p4_found, p4_pairs, p5_found, p5_order, p5_sheet_order, p6_found, p7_packed, p8_found, p8_leaks, p9_found, p9_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_records, p3_found, p3_scores, p4_found, p4_pairs, p5_found, p5_order, p5_sheet_order, p6_found, p6_neighbours, p7_packed, p8_found, p8_leaks, p9_found, p9_sources)}
