@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.llm.common import json_strings, squeeze
-from papyrine.session import stored
+from papyrine.session import scratch, stored
 
 #: Buckets of the persistent pair and marginal tables; more for more data, the results do not change.
 BUCKETS = 16
@@ -116,11 +116,7 @@ class PairTable:
 
 def _bucketed(spark: SparkSession, df: DataFrame) -> DataFrame:
     """`df` written in folders by bucket, so that a bucket is read alone."""
-    import uuid
-
-    from papyrine.session import shared_dir
-
-    path = f"{shared_dir(spark)}/buckets-{uuid.uuid4().hex}"
+    path = scratch(spark, "buckets")
     df.repartition("bucket").write.partitionBy("bucket").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

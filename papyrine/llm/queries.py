@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from papyrine.llm import cooccur, distinctive, fusion, leakage, linkage, packing, survivor, truncation, vectors
 from papyrine.llm.common import table
+from papyrine.session import tidy
 
 TERM = r"^[a-z]{6,}$"
 DIM = 768
 
 
+@tidy
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return linkage.linked(table(spark, d, "papers")).select("paper_id_a", "paper_id_b")
 
 
+@tidy
 def p1_confidence(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of works with their confidence."""
     return linkage.linked(table(spark, d, "papers"))
@@ -29,10 +32,12 @@ def _survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(papers, groups)
 
 
+@tidy
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.sole_values(_survivors(spark, d))
 
 
+@tidy
 def p2_records(spark: SparkSession, d: str) -> DataFrame:
     """One record for every work of two or more ids."""
     return _survivors(spark, d)
@@ -44,6 +49,7 @@ def _terms(spark: SparkSession, d: str, **how: object) -> DataFrame:
     return distinctive.scored(counted, **how).withColumn("doc", F.when(~F.col("doc").startswith("\x00"), F.col("doc")))
 
 
+@tidy
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d, min_tf=3, pattern=TERM).where("df <= 5 and doc is not null").select(F.col("doc").alias("paper_id"), "term").distinct()
 
@@ -57,31 +63,37 @@ def _pairs(spark: SparkSession, d: str) -> cooccur.PairTable:
     return cooccur.increments(table(spark, d, "paper_entities"), "paper_id", ["genes_json", "diseases_json"], "extracted_at")
 
 
+@tidy
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     s = _pairs(spark, d).scores(spark, least=10)
     return s.where(F.col("n_ab") * F.col("n") >= 5 * F.col("n_a") * F.col("n_b")).select("item_a", "item_b")
 
 
+@tidy
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All pairs with counts and how far they exceed chance."""
     return _pairs(spark, d).scores(spark).select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
+@tidy
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     places = fusion.method_ranks(table(spark, d, "search_results"))
     return fusion.leaders(places, fusion.fused(places))
 
 
+@tidy
 def p5_order(spark: SparkSession, d: str) -> DataFrame:
     """The fused order of the papers of every query."""
     return fusion.fused(fusion.method_ranks(table(spark, d, "search_results"))).withColumn("fused", F.round("fused", 9))
 
 
+@tidy
 def p5_sheet_order(spark: SparkSession, d: str) -> DataFrame:
     """The same from the ranks of the label sheet."""
     return fusion.fused(fusion.method_ranks(fusion.sheet_scores(table(spark, d, "relevance_sheet")))).withColumn("fused", F.round("fused", 9))
 
 
+@tidy
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     vecs = vectors.usable(table(spark, d, "embedding_cache"), "paper_id", "model_id", "vector_blob", DIM)
     reps, members = vectors.classes(vecs, 5)
@@ -89,6 +101,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return vectors.mutual(vectors.expanded(near, members, 5), 0.85).select("paper_id_a", "paper_id_b")
 
 
+@tidy
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar papers of every paper whose number is divisible by 100, against all papers."""
     vecs = vectors.usable(table(spark, d, "embedding_cache"), "paper_id", "model_id", "vector_blob", DIM)
@@ -112,10 +125,12 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+@tidy
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.judged(table(spark, d, "documents")).where("cut").select("doc_id").distinct()
 
 
+@tidy
 def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     """How often each source truncates."""
     return truncation.by_source(truncation.judged(table(spark, d, "documents")))
