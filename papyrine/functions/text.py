@@ -118,3 +118,10 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+
+
+def coerced_id(df_columns: list[str]) -> Column:
+    """The first id a foreign record has (paper_id, pmid, id), else its title in lower case with underscores."""
+    known = [F.col(c).cast("string") for c in ("paper_id", "pmid", "id") if c in df_columns]
+    made = F.regexp_replace(F.lower("title"), " ", "_") if "title" in df_columns else F.lit(None).cast("string")
+    return F.coalesce(*known, made)

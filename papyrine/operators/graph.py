@@ -156,3 +156,38 @@ def to_dot(g: Graph, top: int = 150) -> str:
     lines = [f"  {quote(k)} [fillcolor={'lightblue' if t == 'GENE' else 'salmon'}];" for k, t in sorted(kinds.items())]
     lines += [f"  {quote(r['a'])} -- {quote(r['b'])} [label={r['weight']}];" for r in rows]
     return "graph G {\n  node [style=filled];\n" + "\n".join(lines) + "\n}\n"
+
+
+def batch_summary(entities: DataFrame, g: Graph) -> DataFrame:
+    """One row: papers processed, edges added or updated, nodes and edges of the graph."""
+    done = entities.agg(F.count("*").alias("papers_processed"))
+    touched = g.edges.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("edges_added_or_updated"), F.count("*").alias("total_edges"))
+    nodes = g.nodes.agg(F.count("*").alias("total_nodes"))
+    return done.join(F.broadcast(touched), F.lit(True)).join(F.broadcast(nodes), F.lit(True))  # tables of one row
+
+
+def grouped_metrics(entities: DataFrame, keys: list[str], hub: float = 0.3) -> DataFrame:
+    """(keys, nodes, edges, gene_disease_pairs, hub_genes, hub_diseases, density) of one graph for every group of rows.
+
+    `entities`: the keys, paper_id, genes, diseases. All graphs are built in the same few aggregations.
+    """
+    none = F.array().cast("array<string>")
+    genes, diseases = F.array_distinct(F.coalesce("genes", none)), F.array_distinct(F.coalesce("diseases", none))
+    rows = entities.select(*keys, "paper_id", genes.alias("g"), diseases.alias("d"), F.concat(genes, diseases).alias("all"))
+    marks = F.concat(F.transform("g", lambda x: F.struct(x.alias("entity"), F.lit(0).alias("k"))), F.transform("d", lambda x: F.struct(x.alias("entity"), F.lit(1).alias("k"))))
+    seen = rows.select(*keys, "paper_id", F.explode(marks).alias("m")).select(*keys, "paper_id", "m.entity", "m.k")
+    nodes = seen.groupBy(*keys, "entity").agg((F.min_by("k", F.struct("paper_id", "k")) == 0).alias("gene"))
+    pairs = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))))
+    edges = rows.where(F.size("all") > 1).select(*keys, F.explode(pairs).alias("p")).where("p.a <> p.b").select(*keys, "p.a", "p.b").distinct()
+    ends = edges.select(*keys, F.explode(F.array("a", "b")).alias("entity")).groupBy(*keys, "entity").agg(F.count("*").alias("degree"))
+    size = nodes.groupBy(*keys).agg(F.count("*").alias("nodes"))
+    known = nodes.join(ends, [*keys, "entity"], "left").join(size, keys)
+    centrality = F.when(F.col("nodes") > 1, F.coalesce("degree", F.lit(0)) / (F.col("nodes") - 1)).otherwise(1.0)
+    hubs = known.groupBy(*keys).agg(F.max("nodes").alias("nodes"), F.count_if(F.col("gene") & (centrality >= hub)).alias("hub_genes"), F.count_if(~F.col("gene") & (centrality >= hub)).alias("hub_diseases"))
+    kind = nodes.select(*keys, "entity", "gene")
+    typed = edges.join(kind.withColumnRenamed("entity", "a").withColumnRenamed("gene", "ga"), [*keys, "a"]).join(kind.withColumnRenamed("entity", "b").withColumnRenamed("gene", "gb"), [*keys, "b"])
+    counts = typed.groupBy(*keys).agg(F.count("*").alias("edges"), F.count_if(F.col("ga") != F.col("gb")).alias("gene_disease_pairs"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    density = F.when(F.col("nodes") > 1, 2 * F.coalesce("edges", F.lit(0)) / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(0.0)
+    every = entities.select(*keys).distinct().join(hubs, keys, "left").join(counts, keys, "left")
+    return every.select(*keys, zero("nodes"), zero("edges"), zero("gene_disease_pairs"), zero("hub_genes"), zero("hub_diseases"), F.round(F.coalesce(density, F.lit(0.0)), 6).alias("density"))

@@ -239,3 +239,38 @@ def join_judgments(sheet: DataFrame, answers: DataFrame) -> tuple[DataFrame, Dat
     keyed = sheet.withColumn("docid", F.concat_ws(":", "source", "paper_id"))
     repeated = answers.groupBy(*key).count().where("count > 1")
     return keyed.join(answers, key), answers.join(keyed, key, "left_anti"), keyed.where("relevant is null").join(answers, key, "left_anti"), repeated
+
+
+def summary_table(per: pd.DataFrame, metrics: tuple[str, ...] = ("p_at", "mrr", "ndcg")) -> pd.DataFrame:
+    """Means with intervals for each system, and contrasts of two systems with Wilcoxon and sign test.
+
+    `per`: one row for each system and query (some tens of queries), unrounded.
+    """
+    systems = list(dict.fromkeys(per["system"]))
+    wide = {m: per.pivot(index="qid", columns="system", values=m).sort_index(key=lambda q: q.map(_natural)) for m in metrics}
+    rows = []
+    for s in systems:
+        for m in metrics:
+            x = wide[m][s].tolist()
+            low, high = bootstrap_ci(x)
+            rows.append({"system": s, "metric": m, "mean": float(np.mean(x)), "low": low, "high": high, "wilcoxon_p": None, "wins": None, "losses": None, "ties": None, "sign_test_p": None})
+    if len(systems) == 2:
+        a, b = systems
+        for m in metrics:
+            pair = wide[m].dropna()
+            d = (pair[a] - pair[b]).to_numpy()
+            low, high = bootstrap_ci(d.tolist())
+            wins, losses = int((d > 0).sum()), int((d < 0).sum())
+            rows.append({"system": f"{a} - {b}", "metric": m, "mean": float(d.mean()), "low": low, "high": high, "wilcoxon_p": wilcoxon(pair[a].tolist(), pair[b].tolist()), "wins": wins, "losses": losses, "ties": len(d) - wins - losses, "sign_test_p": sign_test(wins, losses)})
+    return pd.DataFrame(rows)
+
+
+def _natural(qid: str) -> tuple[str, int]:
+    """Q2 before Q10."""
+    head = qid.rstrip("0123456789")
+    return head, int(qid[len(head) :] or 0)
+
+
+def rank_delta(sheet: DataFrame) -> DataFrame:
+    """(query_id, source, paper_id, delta): places a paper gains with the second method; null where only one ranks it."""
+    return sheet.select("query_id", "source", "paper_id", (F.col("tfidf_rank") - F.col("biobert_rank")).alias("delta"))

@@ -118,3 +118,10 @@ def topk(vectors: DataFrame, queries: DataFrame, top: int = 10, least: float = -
         return vectors.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double, rank int")
     best = W.Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return out.where(F.col("score") >= least).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+
+
+def compare_texts(a: str, b: str, encoder: Callable[[], Encoder]) -> float:
+    """Cosine of two texts under an encoder."""
+    x, y = encoder()([a if a.strip() else " ", b if b.strip() else " "]).astype(np.float64)
+    n = np.linalg.norm(x) * np.linalg.norm(y)
+    return float(x @ y / n) if n > 0 else 0.0

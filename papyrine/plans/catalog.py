@@ -552,6 +552,46 @@ def trec_qrels(spark: SparkSession, d: str) -> DataFrame:
     return sinks.qrels_lines(_sheet(spark, d).where("relevant is not null"))
 
 
+@query(f"WITH {SHEET} SELECT query_id, source, paper_id, tfidf_rank - biobert_rank AS delta FROM sh")
+def rank_delta(spark: SparkSession, d: str) -> DataFrame:
+    """How many places a paper gains with the second method."""
+    return metrics.rank_delta(_sheet(spark, d))
+
+
+@query(
+    f"""WITH {GRAPH}, one AS (SELECT query_id, method, paper_id, max(score) AS score, min(paper_rank) AS paper_rank FROM search_results GROUP BY 1, 2, 3),
+sc AS (SELECT query_id, method, round(coalesce(avg(score), 0), 6) AS mean_score, round(coalesce(max(score), 0), 6) AS top_score, round(coalesce(stddev_pop(score), 0), 6) AS spread FROM one GROUP BY 1, 2),
+tr AS (SELECT query_id, method, r, rws.paper_id, g, dd, al FROM one JOIN rws ON rws.paper_id = one.paper_id WHERE paper_rank <= 10),
+tn AS (SELECT query_id, method, paper_id, unnest(g) AS entity, 0 AS k FROM tr UNION ALL SELECT query_id, method, paper_id, unnest(dd), 1 FROM tr),
+nd AS (SELECT query_id, method, entity, arg_min(k, (paper_id, k)) = 0 AS gene FROM tn GROUP BY 1, 2, 3),
+tp AS (SELECT query_id, method, r, unnest(al) AS x, unnest(range(1, len(al) + 1)) AS i FROM tr),
+ed AS (SELECT DISTINCT u.query_id, u.method, least(u.x, v.x) AS a, greatest(u.x, v.x) AS b FROM tp u JOIN tp v ON u.query_id = v.query_id AND u.method = v.method AND u.r = v.r AND u.i < v.i AND u.x <> v.x),
+en AS (SELECT query_id, method, entity, count(*) AS degree FROM (SELECT query_id, method, a AS entity FROM ed UNION ALL SELECT query_id, method, b FROM ed) GROUP BY 1, 2, 3),
+sz AS (SELECT query_id, method, count(*) AS nodes FROM nd GROUP BY 1, 2),
+hb AS (SELECT query_id, method, max(nodes) AS nodes, count(*) FILTER (gene AND c >= 0.3) AS hub_genes, count(*) FILTER (NOT gene AND c >= 0.3) AS hub_diseases FROM (SELECT nd.query_id, nd.method, gene, nodes, CASE WHEN nodes > 1 THEN coalesce(degree, 0) / (nodes - 1) ELSE 1 END AS c FROM nd JOIN sz USING (query_id, method) LEFT JOIN en USING (query_id, method, entity)) GROUP BY 1, 2),
+ec AS (SELECT ed.query_id, ed.method, count(*) AS edges, count(*) FILTER (x.gene <> y.gene) AS gene_disease_pairs FROM ed JOIN nd x ON x.query_id = ed.query_id AND x.method = ed.method AND x.entity = a JOIN nd y ON y.query_id = ed.query_id AND y.method = ed.method AND y.entity = b GROUP BY 1, 2)
+SELECT query_id, method, mean_score, top_score, spread, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges, coalesce(gene_disease_pairs, 0) AS gene_disease_pairs, coalesce(hub_genes, 0) AS hub_genes, coalesce(hub_diseases, 0) AS hub_diseases,
+  round(coalesce(CASE WHEN nodes > 1 THEN 2.0 * coalesce(edges, 0) / (nodes * (nodes - 1)) ELSE 0 END, 0), 6) AS density
+FROM sc LEFT JOIN hb USING (query_id, method) LEFT JOIN ec USING (query_id, method)"""
+)
+def evaluation_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Score statistics and graph metrics of every query and method."""
+    from papyrine.plans.pipeline import evaluation_grid as grid
+
+    return grid(table(spark, d, "search_results"), _entity_lists(spark, d))
+
+
+@query()
+def knowledge_graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the graph of all papers: cached entities, extraction for the rest, headings fused."""
+    from papyrine.plans.pipeline import knowledge_graph
+
+    p = papers(spark, d).select("paper_id", "title", "abstract", "keywords_json").dropDuplicates(["paper_id"])
+    lists = _entity_lists(spark, d)
+    cached = lists.groupBy("paper_id").agg(F.array_distinct(F.flatten(F.array_sort(F.collect_list("genes")))).alias("genes"), F.array_distinct(F.flatten(F.array_sort(F.collect_list("diseases")))).alias("diseases"))
+    return knowledge_graph(p, entities.pattern_table(spark), cached).edges
+
+
 @query()
 def blind_order(spark: SparkSession, d: str) -> DataFrame:
     """The label sheet in a seeded order within each query."""

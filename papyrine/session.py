@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,18 +57,50 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+#: Tables written since the innermost tidy() call began.
+_scopes: list[list[str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; deleted with the innermost tidy() call, if there is one."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str = "t", parts: int | None = None) -> DataFrame:
     """`df` written once as Parquet to the shared folder and read back.
 
     Cuts the lineage, survives the loss of executors, and gives the planner real sizes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     out = df if parts is None else df.coalesce(parts)
     out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Writes the result of `f` to the shared folder and deletes the tables that were written on the way to it."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, *args: object, **kwargs: object) -> DataFrame:
+        _scopes.append([])
+        try:
+            out = f(spark, *args, **kwargs)
+        finally:
+            written = _scopes.pop()
+        try:
+            return stored(out, f.__name__)
+        finally:
+            for path in written:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    return run
+
+
 def small(df: DataFrame, most_rows: int) -> bool:
     """Whether `df` has at most `most_rows` rows; reads no more than needed to tell."""
     return df.limit(most_rows + 1).count() <= most_rows

@@ -6,8 +6,10 @@ a partition, and a lost executor only repeats its partitions.
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -76,3 +78,30 @@ def register(spark: SparkSession) -> None:
 
 def id_batches(ids: list[str], size: int = BATCH) -> list[list[str]]:
     return [ids[i : i + size] for i in range(0, len(ids), size)]
+
+
+def search_url(base: str, term: str, most: int = 20, key: str | None = None) -> str:
+    """Address of an id search, by relevance."""
+    fields = {"db": "pubmed", "term": term, "retmax": most, "sort": "relevance", "retmode": "json"} | ({"api_key": key} if key else {})
+    return f"{base}?{urllib.parse.urlencode(fields)}"
+
+
+def fetch_urls(base: str, ids: list[str], key: str | None = None) -> list[str]:
+    """Addresses of record batches."""
+    more = {"api_key": key} if key else {}
+    return [f"{base}?{urllib.parse.urlencode({'db': 'pubmed', 'id': ','.join(b), 'retmode': 'xml'} | more)}" for b in id_batches(ids)]
+
+
+def page_urls(base: str, server: str, start: dt.date, end: dt.date, most: int, total: int | None = None) -> list[str]:
+    """Addresses of preprint pages until three times the wanted number of items is covered or the total is reached."""
+    want = 3 * most if total is None else min(3 * most, total)
+    return [f"{base}/{server}/{start:%Y-%m-%d}/{end:%Y-%m-%d}/{cursor}" for cursor in range(0, max(1, want), BATCH)]
+
+
+def date_range(now: dt.datetime, days: int = 180) -> tuple[dt.date, dt.date]:
+    return (now - dt.timedelta(days=days)).date(), now.date()
+
+
+def fallback_url(base: str, query: str, most: int) -> str:
+    """Address of the fallback search among preprints; pages of three times the wanted number, 25 to 100."""
+    return f"{base}?{urllib.parse.urlencode({'query': f'SRC:PPR AND ({query})', 'pageSize': max(25, min(100, 3 * most)), 'format': 'json', 'resultType': 'core'})}"

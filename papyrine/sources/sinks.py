@@ -56,6 +56,24 @@ def beir_tables(sheet: DataFrame, mode: str = "none", papers: DataFrame | None =
     return corpus, queries, rows.select(F.col("query_id").alias("query-id"), F.col("_id").alias("corpus-id"), F.col("relevant").alias("score")).distinct()
 
 
+def candidate_rows(sheet: DataFrame) -> DataFrame:
+    """The pooled papers of a sheet as an export without labels."""
+    doc = F.concat_ws(":", strip(F.col("source")), strip(F.col("paper_id")))
+    return sheet.select(F.col("query_id").alias("qid"), doc.alias("docid"), "source", "paper_id", "title", "url")
+
+
+def metric_rows(per: DataFrame) -> DataFrame:
+    """Per-query metrics as text with four places."""
+    four = lambda c: F.format_string("%.4f", F.col(c)).alias(c)
+    return per.select("qid", "system", four("p_at"), four("mrr"), four("ndcg"), four("unjudged"))
+
+
+def result_json(results: DataFrame, preview: int | None = None) -> DataFrame:
+    """Ranked papers as JSON lines; abstracts whole or cut to a preview."""
+    text = F.col("abstract") if preview is None else F.concat(F.substring("abstract", 1, preview), F.lit("..."))
+    return results.select(F.to_json(F.struct("rank", "score", "method", "paper_id", "source", "title", text.alias("abstract"))).alias("value"))
+
+
 def edge_list(typed: DataFrame) -> DataFrame:
     """Edge list lines with types, heaviest first."""
     return typed.select(F.col("a").alias("entity_a"), F.col("b").alias("entity_b"), "type_a", "type_b", "weight").orderBy(F.col("weight").desc(), "entity_a", "entity_b")

@@ -95,3 +95,34 @@ def test_labels(spark):
     ans = spark.createDataFrame([("Q", "s:1", "1"), ("Q", "s:1", "1"), ("Q", "s:99", "0")], "query_id string, docid string, answer string")
     joined, unknown, open_, repeated = M.join_judgments(sheet, ans)
     assert (joined.count(), unknown.count(), open_.count(), repeated.count()) == (2, 1, 26, 1)
+
+
+def test_summary_table_and_delta(spark):
+    import pandas as pd
+
+    per = pd.DataFrame([{"system": s, "qid": f"Q{q}", "p_at": (q % 5) / 10 + (0.1 if s == "b" and q % 3 else 0), "mrr": 1.0, "ndcg": q / 20} for s in "ab" for q in range(1, 11)])
+    t = M.summary_table(per)
+    assert len(t) == 9
+    c = t[(t.system == "a - b") & (t.metric == "p_at")].iloc[0]
+    assert (c.wins, c.losses, c.ties) == (0, 7, 3) and abs(c.sign_test_p - 2 / 2**7) < 1e-12 and abs(c["mean"] + 0.07) < 1e-12
+    tied = t[(t.system == "a - b") & (t.metric == "mrr")].iloc[0]
+    assert tied.ties == 10 and pd.isna(tied.wilcoxon_p) and pd.isna(tied.sign_test_p)
+    assert sorted(["Q10", "Q2", "Q1"], key=M._natural) == ["Q1", "Q2", "Q10"]
+    sheet = spark.createDataFrame([("Q", "s", "a", 3, 1), ("Q", "s", "b", None, 1)], "query_id string, source string, paper_id string, tfidf_rank int, biobert_rank int")
+    assert rows(M.rank_delta(sheet).select("paper_id", "delta")) == [("a", 2), ("b", None)]
+
+
+def test_pipeline(spark):
+    from papyrine.operators import entities as E
+    from papyrine.plans import pipeline
+
+    papers = spark.createDataFrame([("1", "KRAS", "in lung cancer", '["Humans", "Lung Neoplasms", "Obesity"]'), ("2", "none", None, None)], "paper_id string, title string, abstract string, keywords_json string")
+    cached = spark.createDataFrame([("2", ["tp53"], ["cancer"]), ("9", ["x"], [])], "paper_id string, genes array<string>, diseases array<string>")
+    got = {r.paper_id: (r.genes, r.diseases) for r in pipeline.paper_entities(papers, E.pattern_table(spark), cached).collect()}
+    assert got == {"1": (["kras"], ["lung cancer", "obesity"]), "2": (["tp53"], ["cancer"])}
+    assert pipeline.knowledge_graph(papers, E.pattern_table(spark), cached).edges.count() == 4
+    res = spark.createDataFrame([("q", m, "1", 0.5, 1) for m in ("tfidf", "biobert")] + [("q", "tfidf", "2", 0.1, 11)], "query_id string, method string, paper_id string, score double, paper_rank int")
+    ents = spark.createDataFrame([("1", ["kras"], ["lung cancer", "obesity"]), ("2", ["tp53"], ["cancer"])], "paper_id string, genes array<string>, diseases array<string>")
+    grid = {r.method: r for r in pipeline.evaluation_grid(res, ents).collect()}
+    assert (grid["tfidf"].nodes, grid["tfidf"].edges, grid["tfidf"].gene_disease_pairs, grid["tfidf"].density) == (3, 3, 2, 1.0) and grid["biobert"].mean_score == 0.5
+    assert pipeline.contrast(pipeline.evaluation_grid(res, ents))["ties"] == 1

@@ -130,3 +130,14 @@ def test_swap_and_streams(spark, tmp_path):
 def test_report():
     text = sinks.report([{"method": "tfidf", "n": 5, "mean_gcs": 179.0, "mean_score": 0.05, "mean_runtime": 0.026}], {"mean_delta": 36.6, "ci95": (-22.0, 85.6), "sign_test_p": 0.375, "significant": False})
     assert "not statistically supported" in text and "| tfidf | 5 | 179.0 |" in text
+
+
+def test_addresses_and_exports(spark):
+    assert "retmax=5" in literature.search_url("http://x", "a b", 5) and len(literature.fetch_urls("http://x", [str(i) for i in range(150)], "k")) == 2
+    start, end = literature.date_range(dt.datetime(2025, 7, 1))
+    assert (end - start).days == 180 and literature.page_urls("http://x", "biorxiv", start, end, 100)[1].endswith("/100")
+    assert len(literature.page_urls("http://x", "b", start, end, 100, total=150)) == 2 and "pageSize=100" in literature.fallback_url("http://x", "q", 50)
+    per = spark.createDataFrame([("q", "s", 0.5, 1.0, 0.25, 0.0)], "qid string, system string, p_at double, mrr double, ndcg double, unjudged double")
+    assert sinks.metric_rows(per).first().ndcg == "0.2500"
+    res = spark.createDataFrame([(1, 0.5, "m", "1", "s", "t", "abcdef")], "rank int, score double, method string, paper_id string, source string, title string, abstract string")
+    assert json.loads(sinks.result_json(res, 3).first().value)["abstract"] == "abc..."
