@@ -15,6 +15,10 @@ from papyrine.functions.text import canonical_entity, strip
 MOST_TOKENS = 3
 #: Dictionaries of at most so many names (some 5 MB) are broadcast, larger ones are shuffled.
 BROADCAST_NAMES = 100_000
+#: Dictionaries of at most so many names are looked up inside the row, so only hits leave it.
+LITERAL_NAMES = 2_000
+#: Pieces of a text: "'s", runs of letters and digits, white space, other signs; together they are the text.
+PIECE = r"('s\b|[\p{L}\p{N}]+|\s+|[^\p{L}\p{N}\s])"
 
 
 def pattern_table(spark: SparkSession, genes: list[str] | None = None, diseases: list[str] | None = None) -> DataFrame:
@@ -37,7 +41,7 @@ def token_spans(text: Column) -> Column:
 
     Built from the lengths of the alternating matches, so offsets are exact without a Python function.
     """
-    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"('s\b|[\p{L}\p{N}]+|\s+|[^\p{L}\p{N}\s])"), F.lit(1))
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(1))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start:int,end:int>>").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -62,6 +66,9 @@ def dictionary_mentions(docs: DataFrame, patterns: DataFrame, most_tokens: int =
     """
     from papyrine.session import small
 
+    listed = patterns.select("name", "label").distinct().limit(LITERAL_NAMES + 1).collect()  # a bounded number of names
+    if len(listed) <= LITERAL_NAMES:
+        return _literal_mentions(docs, patterns, sorted({r["name"] for r in listed}), most_tokens)
     spans = docs.select("paper_id", F.col("text").alias("body"), token_spans(F.col("text")).alias("t"))
     grams = []
     for n in range(1, most_tokens + 1):
@@ -77,6 +84,49 @@ def dictionary_mentions(docs: DataFrame, patterns: DataFrame, most_tokens: int =
     return hit.select("paper_id", text.alias("text"), "label", F.lit("ruler").alias("source"), "start_char", "end_char")
 
 
+def _literal_mentions(docs: DataFrame, patterns: DataFrame, names: list[str], most_tokens: int) -> DataFrame:
+    """The same for a short dictionary: n-grams are tested inside the row, offsets are computed for hits only."""
+    pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PIECE), F.lit(1))
+    rows = docs.select("paper_id", F.col("text").alias("body"), pieces.alias("pieces"))
+    tokens = F.filter(F.transform("pieces", lambda x, i: F.struct(F.lower(x).alias("token"), i.alias("at"))), lambda x: ~x["token"].rlike(r"^\s"))
+    rows = rows.withColumn("t", tokens)
+    hits = F.array().cast("array<struct<name:string,first:int,last:int>>")
+    for n in range(1, most_tokens + 1):
+        known = sorted(x for x in names if len(x.split(" ")) == n)
+        if known:
+            hits = F.concat(hits, _literal_grams(n, known))
+    found = rows.select("paper_id", "body", "pieces", F.explode(hits).alias("h"))
+    before = lambda k: F.length(F.array_join(F.slice("pieces", F.lit(1), k), ""))
+    spans = found.select("paper_id", "body", F.col("h.name").alias("name"), before(F.col("h.first")).alias("start_char"), before(F.col("h.last") + 1).alias("end_char"))
+    hit = spans.join(F.broadcast(patterns.select("name", "label").distinct()), "name")
+    text = canonical_entity(F.substring("body", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")))
+    return hit.select("paper_id", text.alias("text"), "label", F.lit("ruler").alias("source"), "start_char", "end_char")
+
+
+def _literal_grams(n: int, known: list[str]) -> Column:
+    """The n-grams of column t that are known names, plain or with # for numbers: (name, first piece, last piece)."""
+    number = lambda x: F.when(x["token"].rlike(r"^\d+$"), "#").otherwise(x["token"])
+    plain = lambda x: x["token"]
+    out = []
+    for form in (plain, number):
+        if form is number and not any("#" in x.split(" ") for x in known):
+            continue
+        if n == 1:
+            grams = F.transform("t", _single(form))
+        else:
+            grams = F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - (n - 1), F.lit(1))), _joined(n, form))).otherwise(F.array().cast("array<struct<name:string,first:int,last:int>>"))
+        out.append(F.filter(grams, lambda g: g["name"].isin(known)))
+    return F.array_distinct(F.concat(*out))
+
+
+def _single(form: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: F.struct(form(x).alias("name"), x["at"].alias("first"), x["at"].alias("last"))
+
+
+def _joined(n: int, form: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda i: F.struct(F.array_join(F.transform(F.slice("t", i, n), form), " ").alias("name"), F.element_at("t", i)["at"].alias("first"), F.element_at("t", i + (n - 1))["at"].alias("last"))
+
+
 def gene_like(c: Column) -> Column:
     """No blank, 3 to 8 capitals, digits or hyphens beginning with a capital, two letters at least, no common word."""
     stop = c.isin(V.NOT_GENES) | F.upper(c).isin(V.NOT_GENES)
