@@ -7,7 +7,7 @@ time with the longest waiting text that still fits. Deficits are carried from wi
 through a prefix sum over the shards, from shard to shard. Only texts longer than the capacity are
 split: into full sequences of their own and one rest that is packed like any text.
 
-Defined results: repeated rows are packed once; a null source is a source of its own; null and
+Defined results: rows without an id are left out; repeated rows are packed once; a null source is a source of its own; null and
 empty texts have no tokens and come out with a null sequence and place; an empty table gives an
 empty result; extra columns are ignored.
 """
@@ -54,7 +54,7 @@ def token_counter(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
 def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens) of every distinct document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    flat = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), text.alias("text"), F.xxhash64(text).alias("digest"))
+    flat = documents.where("doc_id is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), text.alias("text"), F.xxhash64(text).alias("digest"))
     sized = flat.mapInPandas(token_counter(tokenizer), "doc_id long, source string, digest long, n_tokens long")
     return sized.distinct().drop("digest")
 

@@ -64,7 +64,7 @@ def test_packing_odd_rows(spark):
     assert pack(spark, []) == []
     got = pack(spark, [(1, "s", 0), (2, "s", 2048), (3, "s", 4096), (4, "s", 1)])
     assert sorted((r.doc_id, r.piece, r.n_tokens) for r in got) == [(1, 0, 0), (2, 0, 2048), (3, 0, 2048), (3, 1, 2048), (4, 0, 1)]
-    docs = spark.createDataFrame([(1, "Hello world", None), (1, "Hello world", None), (2, None, "s"), (3, "", "s"), (4, "x " * 30_000, "s")], "doc_id long, text string, source string").withColumn("digest", F.lit(1)).withColumn("n_tokens", F.lit(2))
+    docs = spark.createDataFrame([(1, "Hello world", None), (1, "Hello world", None), (2, None, "s"), (3, "", "s"), (4, "x " * 30_000, "s"), (None, "no id", "s")], "doc_id long, text string, source string").withColumn("digest", F.lit(1)).withColumn("n_tokens", F.lit(2))
     sizes = {r.doc_id: r.n_tokens for r in P.token_sizes(docs).collect()}
     assert sizes[1] == 2 and sizes[2] == sizes[3] == 0 and sizes[4] > 29_000
     assert pack(spark, [(1, "a", 5), (2, "b", 5)], mixture={"a": 0.9, "b": 0.1})[0].n_tokens == 5
@@ -102,7 +102,7 @@ def test_leak_blocks_and_odd_items(spark):
     whole = leaks(spark, [ITEM + " item 3"], items)
     parts = leaks(spark, [ITEM + " item 3"], items, block=2)
     assert set(whole) == set(parts) == {(0, i) for i in range(5)}
-    assert leaks(spark, ["text"], ((1, None),)) == {} and leaks(spark, []) == {} if False else True
+    assert leaks(spark, ["text"], ((1, None),)) == {} and leaks(spark, []) == {}
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert L.leaks(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).count() == 0
 
