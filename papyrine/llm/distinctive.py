@@ -75,8 +75,7 @@ def scored(counted: DataFrame, min_df: int = 1, min_tf: int = 1, pattern: str |
 
     `min_tf` and `pattern` restrict what is returned, never what is counted.
     """
-    counted = stored(counted, "terms").dropDuplicates(["row_key"])
-    counted = stored(counted, "terms")
+    counted = stored(counted.dropDuplicates(["row_key"]), "terms")
     vocabulary = stored(collection(counted), "vocabulary")
     total = vocabulary.agg(F.sum("cf").alias("n")).collect()[0]["n"] or 1  # one number
     model = vocabulary.select("term", "df", (F.col("cf") / F.lit(float(total))).alias("p")).where(F.col("df") >= min_df)
