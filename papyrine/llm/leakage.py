@@ -2,9 +2,10 @@
 
 Texts are brought to words (markup, entities, ligatures, case, punctuation, spacing and hyphens
 disregarded). In the canonical form numbers, names and units are typed placeholders, so that a
-question with other values has the same template. Windows of five canonical words of all items
-form a hash table; every window of every document is looked up in it. Hits of one item on one
-diagonal give a candidate, which is aligned word by word: the longest stretch of the item with at
+question with other values has the same template. Windows of five words of all items, in canonical
+form and as plain lower-case words, form a hash table; every window of every document is looked up
+in it in both forms, so that a passage in capitals, whose words look like names, is met as well.
+Hits of one item on one diagonal give a candidate, which is aligned word by word: the longest stretch of the item with at
 most one word in eight exchanged. The values of the slots are compared, too: a stretch whose
 template fits but whose values differ consistently (one value always for the same other one) is
 reported as re-parameterised.
@@ -77,7 +78,7 @@ def tokens(text: str) -> tuple[list[str], list[str]]:
 
 
 class ItemIndex:
-    """Hash table of the template windows of a block of items."""
+    """Hash table of the windows of a block of items, as templates and as plain words."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids = [i for i, _ in items]
@@ -90,17 +91,19 @@ class ItemIndex:
             self.items.append(np.array([self.codes.setdefault(w, len(self.codes)) for w in words], dtype=np.int64))
             self.slots.append(np.array([c[0] == "\x01" for c in canon], dtype=bool))
             for i in range(len(canon) - WINDOW + 1):
-                self.windows.setdefault(tuple(canon[i : i + WINDOW]), []).append((k, i))
+                for window in {tuple(canon[i : i + WINDOW]), tuple(words[i : i + WINDOW])}:
+                    self.windows.setdefault(window, []).append((k, i))
 
     def search(self, text: str) -> list[tuple]:
         words, canon = tokens(text)
         get = self.windows.get
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for i, window in enumerate(zip(canon, canon[1:], canon[2:], canon[3:], canon[4:], strict=False)):
-            at = get(window)
-            if at:
-                for k, j in at:
-                    hits.setdefault(k, []).append((i - j, j))
+        hits: dict[int, set[tuple[int, int]]] = {}
+        for form in (canon, words):  # one place found in both forms is one hit
+            for i, window in enumerate(zip(form, form[1:], form[2:], form[3:], form[4:], strict=False)):
+                at = get(window)
+                if at:
+                    for k, j in at:
+                        hits.setdefault(k, set()).add((i - j, j))
         if not hits:
             return []
         coded: np.ndarray | None = None
@@ -124,7 +127,7 @@ class ItemIndex:
         return out
 
     @staticmethod
-    def _diagonals(pairs: list[tuple[int, int]], need: int) -> list[int]:
+    def _diagonals(pairs: set[tuple[int, int]], need: int) -> list[int]:
         """Diagonals whose band holds enough windows; the fullest of each neighbourhood."""
         count: dict[int, int] = {}
         for d, _ in pairs:

@@ -91,6 +91,14 @@ def test_leaks_in_any_dress(spark):
     assert got[1, 1].kind == "exact" and got[2, 1].kind == "exchanged" and got[8, 1].part == 1
 
 
+def test_capitals_inside_a_long_text_are_no_names(spark):
+    filler = "the quiet clerk counted boxes by the river until noon and went home again " * 40
+    capitals = filler + ITEM.upper() + " " + filler
+    named = ITEM.replace("pale puppeteer", "PALE PUPPETEER").replace("tender hearing loss", "TENDER HEARING LOSS")
+    got = leaks(spark, [capitals, filler + ITEM.lower()], ((1, ITEM), (2, named)))
+    assert set(got) == {(0, 1), (0, 2), (1, 1), (1, 2)} and all(r.kind == "exact" and r.part == 1 for r in got.values())
+
+
 def test_reparameterised(spark):
     text = ITEM.replace("56-year-old", "71-year-old").replace("KJN2", "QRS7").replace("16.3", "22.9")
     r = leaks(spark, [text])[0, 1]
