@@ -92,3 +92,16 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str) -> D
         cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     out = local.join(before, cond)
     return out.select(*df.columns, (F.col("_r") + F.col("_b")).alias(name))
+
+
+def met(rows: DataFrame, block: int) -> DataFrame:
+    """(a, b), a < b: the `member` structs of `rows` (key, member) that share a key, once for each shared key.
+
+    A key of more than `block` members is dealt into parts, and every part meets every part in a cell of
+    its own: a key may hold any share of the rows, no task grows with it, and no pair is left out.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    dealt = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    left = dealt.select("key", F.col("own").alias("x"), F.explode(F.sequence(F.col("own"), F.col("parts") - 1)).alias("y"), F.col("member").alias("a"))
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("x"), F.col("own").alias("y"), F.col("member").alias("b"))
+    return left.join(right, ["key", "x", "y"]).where("x < y or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -5,8 +5,8 @@
 2. Candidates: ids that share a blocking key. Keys are compound, so that common surnames, titles,
    issue-wide identifiers or sentences alone never make a block: two authors, two adjacent abstract
    sentences, an author of a small team and two rare title words, an identifier and an author or
-   a rare title word. A block that is
-   still large is divided by requiring a second shared key of its members; none is dropped.
+   a rare title word. All ids that share a block are compared; a large block is dealt into parts
+   that meet each other in cells of bounded size.
    Ids with equal profiles are collapsed first and judged once, against their first one.
 3. Heuristic matching functions vote match, differ or abstain on every candidate.
 4. A generative model with the latent classes match, sibling and unrelated learns from the vote
@@ -26,14 +26,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import components, folded, json_strings, words
+from papyrine.llm.common import components, folded, json_strings, met, words
 from papyrine.session import small, stored
 
 #: Title words taken into keys: so many of the rarest.
 RARE = 4
 #: Authors of a paper that enter pairs for blocking, and the size up to which a team counts as small.
 AUTHORS, SMALL_TEAM = 12, 3
-#: Blocks with more members are divided by a second key.
+#: Blocks with more members are dealt into parts (meeting) or divided by a second key (candidates).
 BLOCK = 200
 #: The same for blocks of two and more keys, and how many keys a block may have at most.
 LATER_BLOCK, LEVELS = 1000, 4
@@ -153,6 +153,7 @@ def candidates(p: DataFrame, block: int = BLOCK, later: int = LATER_BLOCK, level
     large as well (two large keys, then three, ...); keys are added in their order, so a pair comes
     out at its first set of shared keys with a small block. What is still large after `levels` keys
     agrees in all of them: its members are compared with the first one, not with each other.
+    This leaves pairs out where blocks are large, so no query uses it; see meeting().
     """
     keys = stored(blocking_keys(p), "keys")
     sizes = stored(keys.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("lead")).where("k > 1"), "sizes")
@@ -183,6 +184,13 @@ def candidates(p: DataFrame, block: int = BLOCK, later: int = LATER_BLOCK, level
     return (pairs if stars is None else pairs.unionByName(stars)).distinct()
 
 
+def meeting(p: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: all ids that share a block, however large it is."""
+    keys = stored(blocking_keys(p), "keys")
+    pairs = met(keys.select("key", F.struct("id").alias("member")), block)
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
 def _overlap(x: str, y: str) -> Column:
     return F.size(F.array_intersect(x, y)) / F.greatest(F.least(F.size(x), F.size(y)), F.lit(1))
 
@@ -332,7 +340,7 @@ def scored_pairs(papers: DataFrame) -> DataFrame:
     p = p.join(rare, "id", "left").join(own, "id", "left").withColumn("rare", F.coalesce("rare", none)).withColumn("own_dois", F.coalesce("own_dois", none))
     p = stored(p, "profiles")
 
-    ballots = stored(votes(candidates(p), p), "votes")
+    ballots = stored(votes(meeting(p), p), "votes")
     table = ballots.groupBy(*FUNCTIONS).agg(F.count("*").alias("n")).toPandas()  # at most 3 ** len(FUNCTIONS) rows
     model = LabelModel()
     if len(table):

@@ -87,6 +87,28 @@ def test_blocks_that_stay_large_become_stars(spark):
     assert pairs == {("i000", f"i{k:03d}") for k in range(1, 300)}
 
 
+def consortium(n, size):
+    """Works of one team without abstract and doi, each with a title of its own."""
+    names = "[" + ", ".join(f'"Sur{c} {c.upper()}"' for c in "abcdefgh"[:size]) + "]"
+    return [paper(f"8{k:05d}", "pubmed", f"organ{k}x stenosis{k}y under load{k}z of cohort{k}w", None, names, "2020-01-01") for k in range(n)]
+
+
+def test_a_record_with_one_large_block_is_compared(spark):
+    works = consortium(260, 5)
+    short = paper("9", "biorxiv", works[100][2], None, '["Sura A", "Surb B"]', "2019-12-01")
+    got = K.scored_pairs(spark.createDataFrame([*works, short], SCHEMA)).where("b = '9'").collect()
+    assert {r.a for r in got} == {w[0] for w in works} and max(got, key=lambda r: r.confidence).a == "800100", sorted((-r.confidence, r.a) for r in got)[:3]
+
+
+def test_every_pair_of_a_block_meets(spark):
+    p = spark.createDataFrame([(f"i{k:03d}", [f"s|{k % 5}", "hot|x"], [f"w{k // 2}", "common"], [], []) for k in range(120)], "id string, authors array<string>, rare array<string>, sentences array<long>, dois array<string>")
+    keys = {}
+    for key, i in K.blocking_keys(p).collect():
+        keys.setdefault(key, set()).add(i)
+    want = {(a, b) for ids in keys.values() for a in ids for b in ids if a < b}
+    assert all(set(rows(K.meeting(p, block=block))) == want for block in (5, 1000))
+
+
 def test_equal_profiles_are_collapsed(spark):
     one = world(1)[0]
     many = [(f"c{k:03d}", *one[1:6], None, *one[7:]) for k in range(40)]
