@@ -109,6 +109,14 @@ def test_every_pair_of_a_block_meets(spark):
     assert all(set(rows(K.meeting(p, block=block))) == want for block in (5, 1000))
 
 
+def test_ids_that_agree_in_all_keys_meet_each_other(spark, monkeypatch):
+    one = world(1)[0]
+    data = [(f"c{k:03d}", one[1], f"{one[2]} {'same' if k in (40, 90) else f'own{k}'}", *one[3:6], None, *one[7:]) for k in range(260)]
+    monkeypatch.setattr(K.candidates, "__defaults__", (10, 50, 4))  # blocks that are large for the divided form
+    got = K.scored_pairs(spark.createDataFrame(data, SCHEMA))
+    assert got.count() == 259 * 258 // 2 + 1 and got.where("a = 'c040' and b = 'c090'").count() == 1 and got.where("a = 'c039' and b = 'c091'").count() == 1
+
+
 def test_equal_profiles_are_collapsed(spark):
     one = world(1)[0]
     many = [(f"c{k:03d}", *one[1:6], None, *one[7:]) for k in range(40)]
