@@ -106,10 +106,10 @@ def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar papers of every paper whose number is divisible by 100, against all papers."""
     vecs = vectors.usable(table(spark, d, "embedding_cache"), "paper_id", "model_id", "vector_blob", DIM)
     reps, members = vectors.classes(vecs, 5)
-    asked = members.where(F.regexp_extract("id", r"(\d+)(?:v\d+)?$", 1).try_cast("long") % 100 == 0).select("key", "id")
+    asked = vectors.holders(vecs).where(F.regexp_extract("id", r"(\d+)(?:v\d+)?$", 1).try_cast("long") % 100 == 0)
     near = vectors.neighbours(reps, 5, dim=DIM, queries=asked)
-    found = vectors.expanded(near, members, 5)
-    return found.join(asked.select(F.col("id").alias("id_a")).distinct(), "id_a", "left_semi").select(F.col("id_a").alias("paper_id"), F.col("id_b").alias("neighbour"), F.round("sim", 4).alias("cosine"))
+    found = vectors.expanded(near, members, 5, asked)
+    return found.select(F.col("id_a").alias("paper_id"), F.col("id_b").alias("neighbour"), F.round("sim", 4).alias("cosine"))
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
