@@ -1,8 +1,8 @@
 """Text cut off by field limits: near-copies whose alignment ends early, and closing-word terminality.
 
 1. Exact copies are judged once. Near-copies are found by min-hash banding over five-word shingles
-   (similarity 0.8 or more, verified on the shingle sets) and aligned with the longest text of their
-   bucket. If a text ends where its copy goes on, in a word or sentence, it was cut.
+   (similarity 0.8 or more, verified on the shingle sets); every two of a bucket are aligned with
+   each other. If a text ends where its copy goes on, in a word or sentence, it was cut.
 2. Texts without such a copy are judged by their last words. For the last three, two and one words
    (numbers and names typed) the corpus tells how often a line ends there without a stop, leaving
    the text itself out. Words that seldom end a line are cuts; a last word that the corpus knows
@@ -25,11 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.llm.common import met
 from papyrine.session import stored
 
 SHINGLE, SIMILAR = 5, 0.8
 #: 16 bands of 4 hashes: a pair of similarity 0.8 is missed once in 5,000 times.
 BANDS, BAND_ROWS = 16, 4
+#: Buckets of more texts are compared in parts.
+BUCKET = 200
 #: Below this share of line ends among its occurrences a closing context tells a cut; at least so many occurrences.
 #: A mark put there by a cut is believed unless the context ends lines more often than MARKED.
 TERMINAL, LEAST_SEEN, MARKED = 0.2, 3, 0.5
@@ -154,7 +157,7 @@ def shingles(text: str) -> np.ndarray:
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        digests, bands, sizes = [], [], []
+        digests, bands, grams = [], [], []
         for digest, text in zip(b["digest"], b["text"], strict=True):
             s = shingles(text)
             if not len(s):
@@ -165,21 +168,20 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = low.reshape(BANDS, BAND_ROWS)
             digests += [digest] * BANDS
             bands += [int.from_bytes(r.astype("<u4").tobytes()[:16], "little") % ((1 << 61) - 1) * BANDS + i & 0x7FFFFFFFFFFFFFFF for i, r in enumerate(rows)]
-            sizes += [len(text)] * BANDS
-        yield pd.DataFrame({"digest": digests, "band": bands, "size": sizes})
+            grams += [len(s)] * BANDS
+        yield pd.DataFrame({"digest": digests, "band": bands, "grams": grams})
 
 
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Verifies pairs (shorter text, longer text) and tells whether the shorter one ends early inside a sentence."""
+    """Of pairs of texts those that are similar, and for each of the two whether it ends early inside a sentence of the other."""
     for b in batches:
-        sims, early = [], []
-        for short, long in zip(b["short"], b["long"], strict=True):
-            x, y = shingles(short), shingles(long)
+        out = []
+        for a, one, c, other in zip(b["a"], b["text_a"], b["b"], b["text_b"], strict=True):
+            x, y = shingles(one), shingles(other)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            sim = both / max(1, len(x) + len(y) - both)
-            sims.append(sim)
-            early.append(sim >= SIMILAR and ends_early(short, long))
-        yield pd.DataFrame({"digest": b["digest"], "similarity": sims, "early": early})
+            if both / max(1, len(x) + len(y) - both) >= SIMILAR:
+                out += [(a, ends_early(one, other)), (c, ends_early(other, one))]
+        yield pd.DataFrame(out, columns=["digest", "early"])
 
 
 def ends_early(short: str, long: str) -> bool:
@@ -219,15 +221,14 @@ def judged(documents: DataFrame) -> DataFrame:
 
     ends = stored(texts.select("digest", "text").mapInPandas(_ends, "digest string, state string, c3 string, c2 string, c1 string, start string, last string"), "ends")
 
-    # 1. near-copies, each against the longest text of its bucket: pairs grow with the texts, not with their squares
-    bands = texts.select("digest", "text").mapInPandas(_bands, "digest string, band long, size long")
+    # 1. near-copies: every two texts of a bucket whose numbers of shingles allow the similarity
+    bands = texts.select("digest", "text").mapInPandas(_bands, "digest string, band long, grams long")
     bands = stored(bands, "bands")
-    lead = bands.groupBy("band").agg(F.max(F.struct("size", "digest")).alias("top"), F.count("*").alias("k")).where("k > 1").select("band", F.col("top.digest").alias("lead"))
-    pairs = bands.join(lead, "band").where("digest <> lead").select("digest", "lead").distinct()
-    texts2 = texts.select(F.col("digest").alias("lead"), F.col("text").alias("long"))
-    both = pairs.join(texts.select("digest", F.col("text").alias("short")), "digest").join(texts2, "lead").select("digest", "short", "long")
-    copies = both.mapInPandas(_aligned, "digest string, similarity double, early boolean").where(F.col("similarity") >= SIMILAR)
-    copies = copies.groupBy("digest").agg(F.max("early").alias("early"))
+    pairs = met(bands.select(F.col("band").alias("key"), F.struct("digest", "grams").alias("member")), BUCKET)
+    pairs = pairs.where(F.least("a.grams", "b.grams") >= (SIMILAR - 1e-9) * F.greatest("a.grams", "b.grams")).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")).distinct()
+    side = lambda s: texts.select(F.col("digest").alias(s), F.col("text").alias(f"text_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "text_a", "b", "text_b")
+    copies = both.mapInPandas(_aligned, "digest string, early boolean").groupBy("digest").agg(F.max("early").alias("early"))
 
     # 2. terminality of the open ends, from the counts of all texts
     counts = texts.select("text").mapInPandas(_contexts, "context string, n long, n_end long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))

@@ -162,6 +162,19 @@ def test_a_copy_shows_the_cut(spark):
     assert got[2] == (True, "copy") and not got[1][0] and not got[3][0]
 
 
+def test_a_copy_that_is_not_the_longest_shows_the_cut(spark, monkeypatch):
+    body = " ".join(f"Word{i} goes on with value {i * 7}." for i in range(40))
+    full = body + " The last line tells the whole story of the trial."
+    cut = body + " The last line tells the whole story"  # ends lines without a stop elsewhere, so that its words show no cut
+    closing = [(100 + i, f"Note {i}.\nThe last line tells the whole story", "t") for i in range(30)]
+    longer = full + " " + " ".join(f"Other{i} is said here of matter {i * 3}." for i in range(60))
+    variant = longer + " More words still."
+    monkeypatch.setattr(T, "_bands", lambda batches: (b.assign(band=7, grams=[len(T.shingles(t)) for t in b["text"]])[["digest", "band", "grams"]] for b in batches))
+    monkeypatch.setattr(T, "BUCKET", 2, raising=False)
+    got = {r.doc_id: (r.cut, r.evidence) for r in T.judged(spark.createDataFrame([(1, full, "s"), (2, cut, "s"), (3, longer, "s"), (4, variant, "s"), *closing], DOCS)).collect()}
+    assert got[2] == (True, "copy") and not any(got[i][0] for i in (1, 3, 4))
+
+
 def test_long_text_is_judged_whole(spark):
     text = "The board met again in spring. " * 20_000
     df = spark.createDataFrame([(1, text, "s"), (2, text + "The board met aga", "s")], DOCS)
