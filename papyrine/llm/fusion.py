@@ -65,7 +65,7 @@ def leaders(places: DataFrame, fused_order: DataFrame, depth: int = 3) -> DataFr
     """(query_id, paper_id): the one paper among the `depth` best of every method, if it is one.
 
     Papers at the top of both methods are few (at most `depth` per query unless tied), so the
-    counts are small; the fused order confirms that the paper stands before all others.
+    counts are small. The fused order does not decide: such a paper need not stand first in it.
     """
     n_methods = places.groupBy("query_id").agg(F.countDistinct("method").alias("n_methods")).where("n_methods >= 2")
     top = places.where((F.col("row") <= depth) & F.col("score").isNotNull())
