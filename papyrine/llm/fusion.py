@@ -45,11 +45,15 @@ def method_ranks(scores: DataFrame) -> DataFrame:
     return placed.join(tied, cond).select("query_id", "paper_id", "method", "score", "row", "place")
 
 
+def _summed(places: DataFrame, constant: float) -> DataFrame:
+    """(query_id, paper_id, fused, methods): the sum of 1 / (constant + place)."""
+    total = places.groupBy("query_id", "paper_id").agg(F.sum(1.0 / (F.lit(constant) + F.col("place"))).alias("fused"), F.count("*").cast("int").alias("methods"))
+    return total.withColumn("fused", F.round("fused", 12))
+
+
 def fused(places: DataFrame, constant: float = CONSTANT) -> DataFrame:
     """(query_id, paper_id, fused, methods, fused_rank) from places per method."""
-    total = places.groupBy("query_id", "paper_id").agg(F.sum(1.0 / (F.lit(constant) + F.col("place"))).alias("fused"), F.count("*").cast("int").alias("methods"))
-    total = total.withColumn("fused", F.round("fused", 12))
-    return ranked(total, ["query_id"], [F.col("fused").desc(), F.col("paper_id")], "fused_rank")
+    return ranked(_summed(places, constant), ["query_id"], [F.col("fused").desc(), F.col("paper_id")], "fused_rank")
 
 
 def sheet_scores(sheet: DataFrame) -> DataFrame:
@@ -61,15 +65,17 @@ def sheet_scores(sheet: DataFrame) -> DataFrame:
     return each[0].unionByName(each[1])
 
 
-def leaders(places: DataFrame, fused_order: DataFrame, depth: int = 3) -> DataFrame:
-    """(query_id, paper_id): the one paper among the `depth` best of every method, if it is one.
+def leaders(places: DataFrame, depth: int = 3, constant: float = CONSTANT) -> DataFrame:
+    """(query_id, paper_id): the first of the fused order of the `depth` best of every method, where it alone is in all of them.
 
-    Papers at the top of both methods are few (at most `depth` per query unless tied), so the
-    counts are small. The fused order does not decide: such a paper need not stand first in it.
+    The lists that are fused hold at most `depth` papers of each method, so a query's fused order is
+    short whatever its rows. A paper in all lists stands before any that is missing in one (for up to
+    31 methods and the usual constant); the exact check that follows asks whether place one is in all lists and
+    place two is not.
     """
     n_methods = places.groupBy("query_id").agg(F.countDistinct("method").alias("n_methods")).where("n_methods >= 2")
-    top = places.where((F.col("row") <= depth) & F.col("score").isNotNull())
-    both = top.groupBy("query_id", "paper_id").agg(F.count("*").alias("n")).join(n_methods, "query_id").where("n = n_methods")
-    one = both.groupBy("query_id").agg(F.count("*").alias("k"), F.min("paper_id").alias("paper_id")).where("k = 1")
-    order = fused_order.select("query_id", F.col("paper_id").alias("paper_id"), "fused_rank")
-    return one.join(order, ["query_id", "paper_id"]).select("query_id", "paper_id").distinct()
+    top = places.where((F.col("row") <= depth) & F.col("score").isNotNull()).withColumn("place", F.col("row"))
+    order = W.Window.partitionBy("query_id").orderBy(F.col("fused").desc(), "paper_id")
+    short = _summed(top, constant).withColumn("fused_rank", F.row_number().over(order)).withColumn("next", F.lead("methods").over(order))
+    first = short.where("fused_rank = 1").join(n_methods, "query_id")
+    return first.where("methods = n_methods and coalesce(next, 0) < n_methods").select("query_id", "paper_id")

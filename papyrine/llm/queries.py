@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papyrine.llm import cooccur, distinctive, fusion, leakage, linkage, packing, survivor, truncation, vectors
 from papyrine.llm.common import table
-from papyrine.session import tidy
+from papyrine.session import scratch, stored, tidy
 
 TERM = r"^[a-z]{6,}$"
 DIM = 768
@@ -26,59 +26,66 @@ def p1_confidence(spark: SparkSession, d: str) -> DataFrame:
     return linkage.linked(table(spark, d, "papers"))
 
 
-def _survivors(spark: SparkSession, d: str) -> DataFrame:
-    papers = table(spark, d, "papers")
-    groups = linkage.works(linkage.scored_pairs(papers))
-    return survivor.survivors(papers, groups)
+def _works(papers: DataFrame) -> DataFrame:
+    return stored(linkage.works(linkage.scored_pairs(papers)), "works")
 
 
 @tidy
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivor.sole_values(_survivors(spark, d))
+    papers = table(spark, d, "papers")
+    return survivor.sole_values(survivor.winners(papers, _works(papers)))
 
 
 @tidy
 def p2_records(spark: SparkSession, d: str) -> DataFrame:
     """One record for every work of two or more ids."""
-    return _survivors(spark, d)
+    papers = table(spark, d, "papers")
+    return survivor.survivors(papers, _works(papers))
 
 
-def _terms(spark: SparkSession, d: str, **how: object) -> DataFrame:
-    rows = table(spark, d, "papers")
-    counted = distinctive.record_terms(rows, "paper_id", ["title", "abstract"], ["keywords_json"])
-    return distinctive.scored(counted, **how).withColumn("doc", F.when(~F.col("doc").startswith("\x00"), F.col("doc")))
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    return distinctive.record_terms(table(spark, d, "papers"), "paper_id", ["title", "abstract"], ["keywords_json"])
+
+
+def _named(terms: DataFrame) -> DataFrame:
+    return terms.withColumn("doc", F.when(~F.col("doc").startswith("\x00"), F.col("doc")))
 
 
 @tidy
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _terms(spark, d, min_tf=3, pattern=TERM).where("df <= 5 and doc is not null").select(F.col("doc").alias("paper_id"), "term").distinct()
+    found = _named(distinctive.characteristic(_terms(spark, d), TERM, least_tf=3, most_df=5))
+    return found.where("tf >= 3 and df <= 5 and doc is not null").select(F.col("doc").alias("paper_id"), "term").distinct()
 
 
+@tidy
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:
     """The score of every term of every row, terms of at least two documents."""
-    return _terms(spark, d, min_df=2).select("row_key", F.col("doc").alias("paper_id"), "term", "tf", "df", F.round("score", 9).alias("score"))
+    return _named(distinctive.scored(_terms(spark, d), min_df=2)).select("row_key", F.col("doc").alias("paper_id"), "term", "tf", "df", F.round("score", 9).alias("score"))
 
 
 def _pairs(spark: SparkSession, d: str) -> cooccur.PairTable:
-    return cooccur.increments(table(spark, d, "paper_entities"), "paper_id", ["genes_json", "diseases_json"], "extracted_at")
+    """The pair table saved after the earlier nine tenths of the rows, opened again and given the later ones."""
+    path = scratch(spark, "pair-table")
+    first, then = cooccur.increments(table(spark, d, "paper_entities"), "paper_id", ["genes_json", "diseases_json"], "extracted_at")
+    cooccur.PairTable(spark, path).add(first)
+    return cooccur.PairTable(spark, path).add(then)
 
 
 @tidy
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    s = _pairs(spark, d).scores(spark, least=10)
+    s = _pairs(spark, d).scores(least=10)
     return s.where(F.col("n_ab") * F.col("n") >= 5 * F.col("n_a") * F.col("n_b")).select("item_a", "item_b")
 
 
 @tidy
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs with counts and how far they exceed chance."""
-    return _pairs(spark, d).scores(spark).select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+    """All pairs with counts and how far they exceed chance, as they stand in the pair table after two saved increments."""
+    return _pairs(spark, d).scores().select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
 @tidy
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    places = fusion.method_ranks(table(spark, d, "search_results"))
-    return fusion.leaders(places, fusion.fused(places))
+    return fusion.leaders(fusion.method_ranks(table(spark, d, "search_results")))
 
 
 @tidy

@@ -47,6 +47,21 @@ def test_scores_equal_brute_force(spark):
     assert {r.term for r in distinctive.scored(distinctive.record_terms(df, "paper_id", ["title", "abstract"], ["keywords_json"]), min_df=2).collect()} == {w for w in docs if len(docs[w]) >= 2}
 
 
+def test_rare_terms_are_carried_by_their_score(spark):
+    rng = random.Random(2)
+    data = [(f"p{i}", " ".join(rng.choice(["common", "usual", "plain"]) for _ in range(30 + i)) + " " + f"rareword{chr(97 + i)} " * (i % 5), None, None) for i in range(20)]
+    data += [("q", "shortone shortone shortone", None, None)]
+    counted = distinctive.record_terms(spark.createDataFrame(data, PAPERS), "paper_id", ["title", "abstract"], ["keywords_json"])
+    every = {(r.doc, r.term): (r.tf, r.df, r.score) for r in distinctive.scored(counted, pattern="^[a-z]{6,}$").collect()}
+    got = {(r.doc, r.term) for r in distinctive.characteristic(counted, "^[a-z]{6,}$", 3, 5).collect()}
+    cases = {k for k, (tf, df, _) in every.items() if tf >= 3 and df <= 5}
+    assert cases and cases <= got and len(got) < len(every)
+    assert min(every[k][2] for k in got) > min(v[2] for v in every.values())
+    one = distinctive.record_terms(spark.createDataFrame(data[-1:], PAPERS), "paper_id", ["title"], [])
+    assert [(r.doc, r.term) for r in distinctive.characteristic(one, "^[a-z]{6,}$", 3, 5).collect()] == [("q", "shortone")]
+    assert distinctive.characteristic(counted.limit(0), "^[a-z]{6,}$", 3, 5).count() == 0
+
+
 ENT = "paper_id string, genes_json string, diseases_json string, extracted_at timestamp"
 
 
@@ -58,14 +73,16 @@ def brute(baskets):
     return n, pairs
 
 
-def test_increments_equal_a_full_count(spark):
+def test_increments_equal_a_full_count(spark, tmp_path):
     rng = random.Random(3)
     at = dt.datetime(2025, 1, 1)
     names = [f"g{i}" for i in range(12)]
     data = [(f"p{rng.randrange(40)}", json.dumps([rng.choice([x, x.upper(), f" {x}\n"]) for x in rng.sample(names, 3)]), json.dumps(rng.sample(["d1", "d2", "hot"], 2)), at + dt.timedelta(hours=h)) for h in range(120)]
     data += [("bad", '["a", ', "null", at), ("empty", None, "[]", None), (None, '["x", "y"]', None, at), ("blank", '["", " ", "\\u00a0", "z", null]', "[]", at)]
     df = spark.createDataFrame(data, ENT).withColumn("items", F.lit(1)).withColumn("basket", F.lit("clash"))
-    table = cooccur.increments(df, "paper_id", ["genes_json", "diseases_json"], "extracted_at", share=0.6)
+    first, then = cooccur.increments(df, "paper_id", ["genes_json", "diseases_json"], "extracted_at", share=0.6)
+    cooccur.PairTable(spark, str(tmp_path / "t")).add(first)
+    table = cooccur.PairTable(spark, str(tmp_path / "t")).add(then)
     want = collections.defaultdict(set)
     for i, g, d, _ in data:
         if i is None:
@@ -77,24 +94,50 @@ def test_increments_equal_a_full_count(spark):
             except ValueError:
                 pass
     n, pairs = brute(want)
-    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in table.scores(spark).collect()}
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in cooccur.PairTable(spark, str(tmp_path / "t")).scores().collect()}
     assert got == {k: (v, n[k[0]], n[k[1]], len(want)) for k, v in pairs.items()}
-    some = table.scores(spark, touched=spark.createDataFrame([("hot",)], "item string"))
-    assert {(r.item_a, r.item_b) for r in some.collect()} == {k for k in pairs if "hot" in k}
+    table.vacuum()
+    assert table.scores().count() == len(pairs) and table.known().count() == len(want)
 
 
-def test_signed_deltas_take_away(spark):
+def test_signed_deltas_take_away_and_only_affected_pairs_are_scored_again(spark, tmp_path):
     make = lambda d: spark.createDataFrame([(k, sorted(v)) for k, v in d.items()], "basket string, items array<string>")
-    one = cooccur.PairTable(buckets=4).add(make({"x": {"a", "b", "c"}, "y": {"a", "b"}}))
-    two = one.add(make({"x": {"a", "d"}, "z": set()}), replace=True)
-    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in two.scores(spark).collect()}
-    assert got == {("a", "b"): (1, 2, 1, 3), ("a", "d"): (1, 2, 1, 3)}
-    assert two.add(make({"x": {"a", "d"}})).scores(spark).count() == 2  # nothing changed, no bucket touched
+    held = lambda t: {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in t.scores().collect()}
+    t = cooccur.PairTable(spark, str(tmp_path / "t"), buckets=4).add(make({"x": {"a", "b", "c"}, "y": {"a", "b"}, "u": {"p", "q"}}))
+    assert t.work["scored"] == 4
+    t.add(make({"x": {"a", "d"}, "z": set()}), replace=True)
+    assert held(t) == {("a", "b"): (1, 2, 1, 4), ("a", "d"): (1, 2, 1, 4), ("p", "q"): (1, 1, 1, 4)}
+    assert t.work["scored"] == 4  # (a, b), (a, c), (b, c) and (a, d), not (p, q)
+    version = t.state["version"]
+    assert t.add(make({"x": {"a", "d"}})).work == {"scored": 0, "buckets": 0} and t.state["version"] == version  # nothing changed
+    again = cooccur.PairTable(spark, str(tmp_path / "t"))
+    assert held(again) == held(t) and again.state["buckets"] == 4
+    t.add(make({"u": {"r"}}))  # q, p keep their marginals, their pair its score
+    assert held(t)["p", "q"] == (1, 1, 1, 4) and held(t)["p", "r"] == (1, 1, 1, 4)
+
+
+def test_a_lost_increment_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    make = lambda d: spark.createDataFrame([(k, sorted(v)) for k, v in d.items()], "basket string, items array<string>")
+    path = str(tmp_path / "t")
+    cooccur.PairTable(spark, path).add(make({"x": {"a", "b"}}))
+    broken = cooccur.PairTable(spark, path)
+    monkeypatch.setattr(broken, "_commit", lambda state: 1 / 0)
+    try:
+        broken.add(make({"y": {"a", "c"}}))
+    except ZeroDivisionError:
+        pass
+    assert [(r.item_a, r.item_b, r.n_a) for r in cooccur.PairTable(spark, path).scores().collect()] == [("a", "b", 1)]
+
 
+def test_long_baskets_are_paired_in_pieces(spark):
+    df = spark.createDataFrame([([f"i{k:03d}" for k in range(23)], 1), (["x", "y"], -1), (["x"], 1), ([], 1)], "items array<string>, d int")
+    want = sorted([(f"i{a:03d}", f"i{b:03d}", 1) for a in range(23) for b in range(a + 1, 23)] + [("x", "y", -1)], key=repr)
+    assert rows(cooccur.paired(df, long=5)) == want == rows(cooccur.paired(df))
 
-def test_empty_pair_table(spark):
-    none = spark.createDataFrame([], ENT)
-    assert cooccur.increments(none, "paper_id", ["genes_json", "diseases_json"], "extracted_at").scores(spark).count() == 0
+
+def test_empty_pair_table(spark, tmp_path):
+    first, then = cooccur.increments(spark.createDataFrame([], ENT), "paper_id", ["genes_json", "diseases_json"], "extracted_at")
+    assert cooccur.PairTable(spark, str(tmp_path / "t")).add(first).add(then).scores().count() == 0
 
 
 SCORES = "query_id string, paper_id string, source string, score double, paper_rank int, method string"
@@ -117,7 +160,16 @@ def test_leaders(spark):
     data = [("q", p, "s", v, 1, m) for m, order in (("x", "abcde"), ("y", "cfgab")) for v, p in zip((5, 4, 3, 2, 1), order, strict=True)]
     data += [("two", p, "s", v, 1, m) for m in "xy" for v, p in zip((3.0, 2.0), "ab", strict=True)] + [("single", "a", "s", 1.0, 1, "x")]
     places = fusion.method_ranks(spark.createDataFrame([(q, p, s, float(v), r, m) for q, p, s, v, r, m in data], SCORES))
-    assert rows(fusion.leaders(places, fusion.fused(places))) == [("q", "c")]
+    assert rows(fusion.leaders(places)) == [("q", "c")]
+    assert rows(fusion.leaders(places, depth=1)) == [("two", "a")] and fusion.leaders(places.limit(0)).count() == 0
+
+
+def test_leaders_come_from_the_fused_order(spark, monkeypatch):
+    data = [("q", p, "s", float(v), 1, m) for m, order in (("x", "abc"), ("y", "cde")) for v, p in zip((3, 2, 1), order, strict=True)]
+    places = fusion.method_ranks(spark.createDataFrame(data, SCORES))
+    assert rows(fusion.leaders(places)) == [("q", "c")]
+    monkeypatch.setattr(fusion, "_summed", lambda p, c: p.groupBy("query_id", "paper_id").agg(F.max("score").alias("fused"), F.count("*").cast("int").alias("methods")))
+    assert rows(fusion.leaders(places)) == []  # without fusion a tied paper of one method comes first
 
 
 def test_distributed_rank_of_a_hot_group(spark):

@@ -177,7 +177,29 @@ def test_survivors_take_the_latest_and_name_the_sole_source(spark):
     out = {r.work: r for r in S.survivors(spark.createDataFrame(papers, SCHEMA), spark.createDataFrame(groups, "id string, work string")).collect()}
     assert out["10.9101/p0"].abstract == "Article 0 text." and out["10.9101/p11"].abstract == "Article 11 text."  # the second one has no dates
     assert out["10.9101/p11"].abstract_from == "611" and out["10.9101/p0"].doi_ids == 1
-    sole = set(rows(S.sole_values(S.survivors(spark.createDataFrame(papers, SCHEMA), spark.createDataFrame(groups, "id string, work string")))))
+    off = {r.work: r for r in S.survivors(spark.createDataFrame(papers, SCHEMA), spark.createDataFrame(groups, "id string, work string"), learn=False).collect()}
+    assert off["10.9101/p11"].abstract == "Preprint 11 text." and off["10.9101/p0"].abstract == "Article 0 text."  # without precedence the fuller of the undated
+    sole = set(rows(S.sole_values(S.winners(spark.createDataFrame(papers, SCHEMA), spark.createDataFrame(groups, "id string, work string")))))
     assert ("10.9101/p0", "doi", "10.9101/p0") in sole and not any(f == "abstract" for _, f, _ in sole)
     none = spark.createDataFrame([], "id string, work string")
     assert S.survivors(spark.createDataFrame(papers, SCHEMA), none).count() == 0
+
+
+def test_incomparable_kinds_stay_so_and_dates_go_before_precedence(spark):
+    groups, papers = [], []
+
+    def group(name, *members):
+        for i, source, text, date in members:
+            groups.append((f"{name}{i}", name))
+            papers.append(paper(f"{name}{i}", source, "t", text, None, date))
+
+    for k in range(4):  # one is before two, and three before two; of one and three nothing is known
+        group(f"d{k}", (1, "one", "Text.", "2020-01-01"), (2, "two", "Text!", "2021-01-01"))
+        group(f"e{k}", (1, "three", "Text.", "2020-01-01"), (2, "two", "Text!", "2021-01-01"))
+    group("u", (1, "one", "A short one.", None), (2, "three", "A much longer text.", None))
+    group("w", (1, "one", "The longest of these three texts.", None), (2, "two", "Last.", None), (3, "three", "Some text.", None))
+    group("x", (1, "two", "Earlier by date.", "2019-01-01"), (2, "one", "Later.", "2022-01-01"))
+    group("y", (1, "two", "", None), (2, "one", "Only this.", None))
+    out = {r.work: r for r in S.survivors(spark.createDataFrame(papers, SCHEMA), spark.createDataFrame(groups, "id string, work string")).collect()}
+    assert [out[k].abstract for k in "uwxy"] == ["A much longer text.", "Last.", "Later.", "Only this."]
+    assert out["u"].doi is None and out["u"].doi_ids == 0 and out["w"].abstract_ids == 3
