@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,3 +106,36 @@ def met(rows: DataFrame, block: int) -> DataFrame:
     left = dealt.select("key", F.col("own").alias("x"), F.explode(F.sequence(F.col("own"), F.col("parts") - 1)).alias("y"), F.col("member").alias("a"))
     right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("x"), F.col("own").alias("y"), F.col("member").alias("b"))
     return left.join(right, ["key", "x", "y"]).where("x < y or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def asked(asks: DataFrame, rows: DataFrame, block: int) -> DataFrame:
+    """(a, b): every member of `asks` (key, a) with every member of `rows` (key, b) that has its key.
+
+    The rows of a key are dealt into parts of about `block`, each asked in a cell of its own, so a key may
+    hold any share of the rows.
+    """
+    keys = asks.select("key").distinct()
+    wanted = rows.join(keys, "key", "left_semi")
+    parts = wanted.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    left = asks.join(parts, "key").select("key", "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = wanted.join(parts, "key").select("key", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    return left.join(right, ["key", "part"]).select("a", "b")
+
+
+#: Bits of a filter of hashes: 8 MB, whatever the number of hashes; beyond some ten million it lets more through and stays right.
+BITS = 1 << 26
+
+
+def bits(df: DataFrame, column: str) -> np.ndarray:
+    """A filter of the hashes in `column`: at most BITS / 64 numbers reach the driver."""
+    at = df.select(F.pmod(F.col(column), F.lit(BITS)).alias("at"))
+    found = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toPandas()
+    out = np.zeros(BITS // 64, dtype=np.int64)
+    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    return out
+
+
+def in_bits(mask: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes pass the filter."""
+    at = np.mod(hashes, BITS)
+    return (mask[at >> 6] >> (at & 63)) & 1 == 1

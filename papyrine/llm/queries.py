@@ -123,12 +123,14 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(packing.token_sizes(table(spark, d, "documents")))
 
 
+@tidy
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("by = 'words'").select("doc_id", "item_id").distinct()
 
 
+@tidy
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """The leaks with what part of the item stands there and how it was changed."""
+    """The leaks with what part of the item stands there and how it was changed, re-parameterised ones included."""
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 

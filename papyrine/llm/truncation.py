@@ -1,13 +1,17 @@
 """Text cut off by field limits: near-copies whose alignment ends early, and closing-word terminality.
 
-1. Exact copies are judged once. Near-copies are found by min-hash banding over five-word shingles
-   (similarity 0.8 or more, verified on the shingle sets); every two of a bucket are aligned with
-   each other. If a text ends where its copy goes on, in a word or sentence, it was cut.
+1. Exact copies are judged once. Near-copies are found by min-hash banding over five-word shingles:
+   of whole texts (similarity 0.8 or more), and, because a cut copy may be much shorter than the
+   whole one, of beginnings. Beginnings of 24, 48, 96, ... shingles of every text are banded; a text
+   with an open end asks with its longest for the texts that go on (0.8 of its shingles in the other).
+   Both are verified on the shingle sets and aligned; if a text ends where its copy goes on, in a
+   word or sentence, it was cut.
 2. Texts without such a copy are judged by their last words. For the last three, two and one words
    (numbers and names typed) the corpus tells how often a line ends there without a stop, leaving
    the text itself out. Words that seldom end a line are cuts; a last word that the corpus knows
    only as the beginning of another word after the same neighbour is cut inside.
-   Marks put there by a cut (an ellipsis, "[...]", "(more)") are taken off first.
+   Marks put there by a cut (an ellipsis, "[...]", "(more)") are taken off first. Only contexts that
+   some open end asks for pass a filter of fixed size and are shuffled.
 
 Defined results: null, empty and placeholder texts are no cuts; a text ending in a full stop,
 question or exclamation mark, closing quote or tag is whole unless a copy shows otherwise; repeated
@@ -18,19 +22,21 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import met
+from papyrine.llm.common import BITS, asked, bits, in_bits, met  # noqa: F401
 from papyrine.session import stored
 
 SHINGLE, SIMILAR = 5, 0.8
 #: 16 bands of 4 hashes: a pair of similarity 0.8 is missed once in 5,000 times.
 BANDS, BAND_ROWS = 16, 4
+#: Beginnings: shingles of the shortest, and 6 bands of 3 hashes for each, which miss a pair of similarity 0.8 once in 75 times.
+BEGINNING, BEGINNING_BANDS, BEGINNING_ROWS = 24, 6, 3
 #: Buckets of more texts are compared in parts.
 BUCKET = 200
 #: Below this share of line ends among its occurrences a closing context tells a cut; at least so many occurrences.
@@ -105,71 +111,136 @@ def contexts(before: list[str], unit: list[str]) -> Iterator[tuple[str, str, str
             yield f"{unit[i - 2] if i > 1 else '^'} {unit[i - 1]}\x02{t}", f"{unit[i - 1]}\x02{t}", t
 
 
-def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        got = [closing(t) for t in b["text"]]
-        yield pd.DataFrame({"digest": b["digest"], **{c: [g[i] for g in got] for i, c in enumerate(("state", "c3", "c2", "c1", "start", "last"))}})
+def code(context: str) -> int:
+    """A context as a number, for the filter."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(context) - (1 << 63)
+
+
+SCANNED = "digest string, state string, c3 string, c2 string, c1 string, start string, last string, asks array<long>, grams long, bands array<long>, beginnings array<long>, longest array<long>"
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of contexts of one to three words: all occurrences, and those that end a line without a stop."""
+def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of every text its end, the contexts it asks for, and the bands of the whole and of its beginnings."""
     for b in batches:
-        seen: Counter[str] = Counter()
-        ended: Counter[str] = Counter()
-        for text in b["text"]:
-            bare, _ = _tail(text)
-            lines = bare.split("\n")
-            for k, line in enumerate(lines):
-                before: list[str] = []
-                last: tuple[str, ...] = ()
-                for toks in units(line):
-                    types = list(map(typed, toks))
-                    for last in contexts(before, types):
-                        seen.update(set(last))
-                    if types:
-                        seen[begins(types)] += 1
-                    before = types
-                if last and not _STOP.search(line.rstrip()):
-                    after = next((x for x in lines[k + 1 :] if x.strip()), None)
-                    if after is None or _NEXT_LINE.match(after):
-                        ended.update(set(last))
-                        ended[begins(before)] += 1
-        keys = list(seen)
-        yield pd.DataFrame({"context": keys, "n": [seen[k] for k in keys], "n_end": [ended.get(k, 0) for k in keys]})
-
-
-_MERSENNE = (1 << 31) - 1
+        rows = []
+        for digest, text in zip(b["digest"], b["text"], strict=True):
+            end = closing(text)
+            c3, c2, c1, start = end[1:5]
+            asks = [code(c) for c in (c3, c2, c1, start)] + [code(c.split("\x02")[0] + "\x02") for c in (c3, c2) if "\x02" in c] if end[0] in ("open", "marked") else []
+            grams, whole, beginnings, longest = sketches(text)
+            rows.append((digest, *end, asks, grams, whole, beginnings, longest if end[0] in ("open", "marked", "stopped") else []))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCANNED.split(", ")])
+
+
+def _counter(mask: object) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Counts of contexts of one to three words, all occurrences and those that end a line without a stop, for the contexts of the filter."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        types: dict[str, str] = {}
+        for b in batches:
+            one: Counter[str] = Counter()
+            two: Counter[tuple[str, str]] = Counter()
+            three: Counter[tuple[str, str, str]] = Counter()
+            ended: Counter[str] = Counter()
+            for text in b["text"]:
+                bare, _ = _tail(text)
+                lines = bare.split("\n")
+                for k, line in enumerate(lines):
+                    before: list[str] = []
+                    unit: list[str] = []
+                    earlier: list[str] = []
+                    for toks in units(line):
+                        if not toks:
+                            continue
+                        earlier = before
+                        unit = []
+                        for t in toks:
+                            x = types.get(t)
+                            if x is None:
+                                if len(types) > 200_000:
+                                    types.clear()
+                                x = types[t] = typed(t)
+                            unit.append(x)
+                        one.update(unit)
+                        one[begins(unit)] += 1
+                        two[" ".join([*before[-2:], "^"]), unit[0]] += 1
+                        if len(unit) > 1:
+                            two.update(zip(unit, unit[1:], strict=False))
+                            three["^", unit[0], unit[1]] += 1
+                            three.update(zip(unit, unit[1:], unit[2:], strict=False))
+                        before = unit
+                    if unit and not _STOP.search(line.rstrip()):
+                        after = next((x for x in lines[k + 1 :] if x.strip()), None)
+                        if after is None or _NEXT_LINE.match(after):
+                            ended.update(set(list(contexts(earlier, unit))[-1]))
+                            ended[begins(unit)] += 1
+            seen = Counter(one)
+            for (x, y), n in two.items():
+                seen[f"{x}\x02{y}"] += n
+            for (x, y, z), n in three.items():
+                seen[f"{x} {y}\x02{z}"] += n
+            keys = list(seen)
+            passed = in_bits(mask.value, np.array([code(k) for k in keys], dtype=np.int64))
+            passed |= in_bits(mask.value, np.array([code(k.split("\x02")[0] + "\x02") if "\x02" in k else 0 for k in keys], dtype=np.int64)) & np.array(["\x02" in k for k in keys], dtype=bool)
+            keys = [k for k, ok in zip(keys, passed, strict=True) if ok]
+            yield pd.DataFrame({"context": keys, "n": [seen[k] for k in keys], "n_end": [ended.get(k, 0) for k in keys]})
+
+    return run
+
+
 _RNG = np.random.default_rng(11)
-_A = _RNG.integers(1, _MERSENNE, BANDS * BAND_ROWS, dtype=np.uint64)
-_B = _RNG.integers(0, _MERSENNE, BANDS * BAND_ROWS, dtype=np.uint64)
+_A = _RNG.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
 
 
-def shingles(text: str) -> np.ndarray:
-    """Distinct 31-bit hashes of the five-word shingles of a text."""
+def grams(text: str) -> np.ndarray:
+    """The 32-bit hashes of the five-word shingles of a text, in order."""
     import xxhash
 
     words = re.findall(r"[^\W_]+", text.lower())
     if len(words) < SHINGLE:
         return np.empty(0, dtype=np.uint64)
-    grams = zip(*[words[i:] for i in range(SHINGLE)], strict=False)
-    return np.unique(np.array([xxhash.xxh32_intdigest(" ".join(g)) & _MERSENNE for g in grams], dtype=np.uint64))
+    each = zip(*[words[i:] for i in range(SHINGLE)], strict=False)
+    return np.array([xxhash.xxh32_intdigest(" ".join(g)) for g in each], dtype=np.uint64)
 
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        digests, bands, grams = [], [], []
-        for digest, text in zip(b["digest"], b["text"], strict=True):
-            s = shingles(text)
-            if not len(s):
-                continue
-            low = np.full(BANDS * BAND_ROWS, _MERSENNE, dtype=np.uint64)
-            for at in range(0, len(s), 4096):  # long texts in pieces, so that memory stays small
-                low = np.minimum(low, ((s[at : at + 4096, None] * _A[None, :] + _B[None, :]) % _MERSENNE).min(0))
-            rows = low.reshape(BANDS, BAND_ROWS)
-            digests += [digest] * BANDS
-            bands += [int.from_bytes(r.astype("<u4").tobytes()[:16], "little") % ((1 << 61) - 1) * BANDS + i & 0x7FFFFFFFFFFFFFFF for i, r in enumerate(rows)]
-            grams += [len(s)] * BANDS
-        yield pd.DataFrame({"digest": digests, "band": bands, "grams": grams})
+def shingles(text: str) -> np.ndarray:
+    """Their distinct values."""
+    return np.unique(grams(text))
+
+
+def _lowest(s: np.ndarray, hashes: int) -> np.ndarray:
+    low = np.full(hashes, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(s), 4096):  # long texts in pieces, so that memory stays small
+        low = np.minimum(low, ((s[at : at + 4096, None] * _A[None, :hashes] + _B[None, :hashes]) >> np.uint64(32)).min(0))
+    return low
+
+
+def _banded(low: np.ndarray, rows: int, mark: int) -> list[int]:
+    import xxhash
+
+    return [xxhash.xxh64_intdigest(r.tobytes(), mark * 64 + i) - (1 << 63) for i, r in enumerate(low.reshape(-1, rows))]
+
+
+def sketches(text: str) -> tuple[int, list[int], list[int], list[int]]:
+    """(distinct shingles, bands of the whole, bands of all beginnings, bands of the longest one) of a text."""
+    s = grams(text)
+    if not len(s):
+        return 0, [], [], []
+    beginnings: list[int] = []
+    longest: list[int] = []
+    of = BEGINNING_BANDS * BEGINNING_ROWS
+    low = np.full(of, np.iinfo(np.uint64).max, dtype=np.uint64)
+    done, size, level = 0, BEGINNING, 0
+    while size <= len(s):
+        low = np.minimum(low, _lowest(s[done:size], of))
+        longest = _banded(low, BEGINNING_ROWS, 1000 + level)
+        beginnings += longest
+        done, size, level = size, size * 2, level + 1
+    u = np.unique(s)
+    return len(u), _banded(_lowest(u, BANDS * BAND_ROWS), BAND_ROWS, 0), beginnings, longest
 
 
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,7 +250,7 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, one, c, other in zip(b["a"], b["text_a"], b["b"], b["text_b"], strict=True):
             x, y = shingles(one), shingles(other)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            if both / max(1, len(x) + len(y) - both) >= SIMILAR:
+            if both >= SIMILAR * max(1, min(len(x), len(y))):  # similar as wholes, or the shorter one in the longer
                 out += [(a, ends_early(one, other)), (c, ends_early(other, one))]
         yield pd.DataFrame(out, columns=["digest", "early"])
 
@@ -219,19 +290,23 @@ def judged(documents: DataFrame) -> DataFrame:
     ids = base.select("doc_id", "source", "digest")
     texts = stored(base.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts")
 
-    ends = stored(texts.select("digest", "text").mapInPandas(_ends, "digest string, state string, c3 string, c2 string, c1 string, start string, last string"), "ends")
+    scanned = stored(texts.select("digest", "text").mapInPandas(_scanned, SCANNED), "scanned")
+    ends = scanned.select("digest", "state", "c3", "c2", "c1", "start", "last")
 
-    # 1. near-copies: every two texts of a bucket whose numbers of shingles allow the similarity
-    bands = texts.select("digest", "text").mapInPandas(_bands, "digest string, band long, grams long")
-    bands = stored(bands, "bands")
-    pairs = met(bands.select(F.col("band").alias("key"), F.struct("digest", "grams").alias("member")), BUCKET)
-    pairs = pairs.where(F.least("a.grams", "b.grams") >= (SIMILAR - 1e-9) * F.greatest("a.grams", "b.grams")).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")).distinct()
+    # 1. near-copies: every two texts of a bucket whose numbers of shingles allow the similarity, and open ends with what begins alike and is longer
+    member = F.struct("digest", "grams")
+    pairs = met(scanned.select(F.explode("bands").alias("key"), member.alias("member")), BUCKET)
+    pairs = pairs.where(F.least("a.grams", "b.grams") >= (SIMILAR - 1e-9) * F.greatest("a.grams", "b.grams"))
+    short = scanned.select(F.explode("longest").alias("key"), member.alias("a"))
+    pairs = pairs.unionByName(asked(short, scanned.select(F.explode("beginnings").alias("key"), member.alias("b")), BUCKET).where("a.grams < b.grams"))
+    pairs = pairs.select(F.least("a.digest", "b.digest").alias("a"), F.greatest("a.digest", "b.digest").alias("b")).distinct()
     side = lambda s: texts.select(F.col("digest").alias(s), F.col("text").alias(f"text_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "text_a", "b", "text_b")
     copies = both.mapInPandas(_aligned, "digest string, early boolean").groupBy("digest").agg(F.max("early").alias("early"))
 
     # 2. terminality of the open ends, from the counts of all texts
-    counts = texts.select("text").mapInPandas(_contexts, "context string, n long, n_end long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
+    mask = documents.sparkSession.sparkContext.broadcast(bits(scanned.select(F.explode("asks").alias("ask")), "ask"))
+    counts = texts.select("text").mapInPandas(_counter(mask), "context string, n long, n_end long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
     counts = stored(counts, "contexts")
     opened = ends.where("state in ('open', 'marked')")
     wanted = opened.select(F.explode(F.array("c3", "c2", "c1", "start")).alias("context")).distinct()

@@ -105,11 +105,20 @@ def test_reparameterised(spark):
     assert r.kind == "reparameterised" and r.consistent and r.slots_changed >= 3
 
 
-def test_leak_blocks_and_odd_items(spark):
+def test_reparameterised_beyond_one_word_in_eight(spark):
+    item = "A 56-year-old woman takes 40 mg of drug A12 and 16 mg of drug B7 for 12 weeks. How many days pass until 90 percent of 40 mg of drug A12 has left her body after 3 doses of B7?"
+    text = item.replace("56", "61").replace("40", "75").replace("A12", "X9").replace("16", "18").replace("B7", "Q55").replace("12 weeks", "30 weeks").replace("90", "80").replace("3 doses", "5 doses")
+    mixed = text.replace("75 mg of drug X9 has", "99 mg of drug X9 has")  # 40 stands for two values
+    got = leaks(spark, ["Before. " + text + " After.", mixed], ((1, item),))
+    r = got[0, 1]
+    assert set(got) == {(0, 1)} and r.by == "template" and r.kind == "reparameterised" and r.consistent and r.exchanged > r.matched_words / 8
+
+
+def test_leak_windows_by_shuffle_and_odd_items(spark, monkeypatch):
     items = [(i, f"{ITEM} item {i}") for i in range(5)] + [(9, None), (10, "too few words"), (11, "")]
     whole = leaks(spark, [ITEM + " item 3"], items)
-    parts = leaks(spark, [ITEM + " item 3"], items, block=2)
-    assert set(whole) == set(parts) == {(0, i) for i in range(5)}
+    monkeypatch.setattr(L, "BROADCAST_WINDOWS", 3)
+    assert set(whole) == set(leaks(spark, [ITEM + " item 3"], items)) == {(0, i) for i in range(5)}
     assert leaks(spark, ["text"], ((1, None),)) == {} and leaks(spark, []) == {}
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert L.leaks(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).count() == 0
@@ -169,7 +178,6 @@ def test_a_copy_that_is_not_the_longest_shows_the_cut(spark, monkeypatch):
     closing = [(100 + i, f"Note {i}.\nThe last line tells the whole story", "t") for i in range(30)]
     longer = full + " " + " ".join(f"Other{i} is said here of matter {i * 3}." for i in range(60))
     variant = longer + " More words still."
-    monkeypatch.setattr(T, "_bands", lambda batches: (b.assign(band=7, grams=[len(T.shingles(t)) for t in b["text"]])[["digest", "band", "grams"]] for b in batches))
     monkeypatch.setattr(T, "BUCKET", 2, raising=False)
     got = {r.doc_id: (r.cut, r.evidence) for r in T.judged(spark.createDataFrame([(1, full, "s"), (2, cut, "s"), (3, longer, "s"), (4, variant, "s"), *closing], DOCS)).collect()}
     assert got[2] == (True, "copy") and not any(got[i][0] for i in (1, 3, 4))
@@ -179,3 +187,46 @@ def test_long_text_is_judged_whole(spark):
     text = "The board met again in spring. " * 20_000
     df = spark.createDataFrame([(1, text, "s"), (2, text + "The board met aga", "s")], DOCS)
     assert rows(T.judged(df).select("doc_id", "cut")) == [(1, False), (2, True)]
+
+
+def test_a_copy_twice_as_long_shows_the_cut(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    full = ". ".join(" ".join(words[i : i + 10]).capitalize() for i in range(0, 400, 10)) + "."
+    at = full.index(words[155]) + 3  # inside a word, at less than half of the text
+    edited = full[:at].replace(words[3], "other").replace(words[77], "word")
+    whole = full[: full.index(".", at + 200) + 1]
+    got = {r.doc_id: (r.cut, r.evidence) for r in T.judged(spark.createDataFrame([(1, full, "s"), (2, edited, "t"), (3, whole, "s")], DOCS)).collect()}
+    assert got == {1: (False, None), 2: (True, "copy"), 3: (False, None)}
+
+
+def test_contexts_are_counted_as_listed():
+    import collections as c
+
+    import pandas as pd
+
+    texts = ["One two three. Four five\nsix 7 (more)", "A line\n\nB line ends", "", "One two"]
+    want, ended = c.Counter(), c.Counter()
+    for text in texts:
+        bare, _ = T._tail(text)
+        lines = bare.split("\n")
+        for k, line in enumerate(lines):
+            before, last = [], ()
+            for toks in T.units(line):
+                types = list(map(T.typed, toks))
+                for last in T.contexts(before, types):
+                    want.update(set(last))
+                if types:
+                    want[T.begins(types)] += 1
+                before = types
+            if last and not T._STOP.search(line.rstrip()):
+                after = next((x for x in lines[k + 1 :] if x.strip()), None)
+                if after is None or T._NEXT_LINE.match(after):
+                    ended.update(set(last))
+                    ended[T.begins(before)] += 1
+
+    class Every:
+        value = __import__("numpy").full(T.BITS // 64, -1)
+
+    got = next(T._counter(Every)(iter([pd.DataFrame({"text": texts})])))
+    assert dict(zip(got["context"], zip(got["n"], got["n_end"], strict=True), strict=True)) == {k: (n, ended[k]) for k, n in want.items()}
