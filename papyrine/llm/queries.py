@@ -119,10 +119,18 @@ def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id_a").alias("paper_id"), F.col("id_b").alias("neighbour"), F.round("sim", 4).alias("cosine"))
 
 
+@tidy
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The sequence and place of every document, each source with its share of the input in every window."""
     return packing.packed(packing.token_sizes(table(spark, d, "documents")))
 
 
+@tidy
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How near every run of 64 windows comes to the stated target: the same share of tokens for each source."""
+    return packing.mixture_report(packing.packed(packing.token_sizes(table(spark, d, "documents")), mixture=packing.EVEN), packing.EVEN)
+
+
 @tidy
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("by = 'words'").select("doc_id", "item_id").distinct()
@@ -145,4 +153,4 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(truncation.judged(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_records, p3_found, p3_scores, p4_found, p4_pairs, p5_found, p5_order, p5_sheet_order, p6_found, p6_neighbours, p7_packed, p8_found, p8_leaks, p9_found, p9_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_records, p3_found, p3_scores, p4_found, p4_pairs, p5_found, p5_order, p5_sheet_order, p6_found, p6_neighbours, p7_packed, p7_mixture, p8_found, p8_leaks, p9_found, p9_sources)}

@@ -55,6 +55,21 @@ def test_mixture_holds_in_every_stretch_of_windows():
         assert all(abs(got[s] / sum(got.values()) - shares[s]) < 0.03 for s in shares)
 
 
+def test_a_stated_mixture_holds_until_a_source_runs_dry(spark):
+    rng = random.Random(4)
+    data = [(i, rng.choice("aaaaabbbc"), rng.randrange(20, 400)) for i in range(6000)]
+    target = {"a": 0.4, "b": 0.4, "c": 0.2}
+    for mixture, want in ((target, target), (P.EVEN, dict.fromkeys("abc", 1 / 3))):
+        df = P.packed(spark.createDataFrame(data, SIZES), mixture=mixture, shard_texts=2500)
+        got = P.mixture_report(df, mixture, run=16).collect()
+        assert sum(r.n_tokens for r in got) == sum(n for _, _, n in data) and {r.source: r.target for r in got} == {k: round(v, 6) for k, v in want.items()}
+        low = {(r.shard, r.run): min(x.left for x in got if (x.shard, x.run) == (r.shard, r.run)) for r in got}
+        full = [r for r in got if low[r.shard, r.run] > 0]
+        # a run pays back what the shard before was given less of
+        assert len(full) > 20 and all(abs(r.deviation) < 0.1 for r in full) and sum(abs(r.deviation) for r in full) / len(full) < 0.02
+    assert P.mixture_report(df.limit(0)).count() == 0
+
+
 def test_deficits_are_carried_between_shards():
     first = P.fill([10, 10, 10], ["a", "b", "b"], {"a": 0.5, "b": 0.5}, {"b": 15.0, "a": -15.0}, 10)
     assert first == [[2], [1], [0]] or first == [[1], [2], [0]]  # b is behind and comes first
