@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,7 +19,8 @@ BROADCAST_NAMES = 100_000
 #: Dictionaries of at most so many names are looked up inside the row, so only hits leave it.
 LITERAL_NAMES = 2_000
 #: Pieces of a text: "'s", runs of letters and digits, white space, other signs; together they are the text.
-PIECE = r"('s\b|[\p{L}\p{N}]+|\s+|[^\p{L}\p{N}\s])"
+WHITE = r" \t\n\x0b\f\r"
+PIECE = r"('s\b|[\p{L}\p{N}]+|[" + WHITE + r"]+|[^\p{L}\p{N}" + WHITE + "])"
 
 
 def pattern_table(spark: SparkSession, genes: list[str] | None = None, diseases: list[str] | None = None) -> DataFrame:
@@ -36,19 +38,26 @@ def add_pattern(patterns: DataFrame, name: str, label: str) -> DataFrame:
     return patterns.unionByName(patterns.sparkSession.createDataFrame([(" ".join(tokens), label)], "name string, label string"))
 
 
-def token_spans(text: Column) -> Column:
-    """Array of (token, start, end): runs of letters and digits (hyphens inside a name are kept), "'s", other signs.
+#: A run of letters, digits and hyphens that is a name by its capitals.
+_CAPITALS = re.compile(r"(?<![A-Za-z0-9\-])[A-Z][A-Z0-9\-]{2,7}(?![A-Za-z0-9\-])")
 
-    Built from the lengths of the alternating matches, so offsets are exact without a Python function.
+
+def token_spans(docs: DataFrame) -> DataFrame:
+    """(paper_id, body, t): t the array of (token, start, end) of a text: runs of letters and digits, "'s", other signs.
+
+    One pass over each text in Arrow batches; in the expression language a running offset copies its list at every token.
     """
-    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(1))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start:int,end:int>>").alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        here = F.struct(p.alias("token"), acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("end"))
-        return F.struct((acc["at"] + F.length(p)).alias("at"), F.when(p.rlike(r"^\s"), acc["out"]).otherwise(F.concat(acc["out"], F.array(here))).alias("out"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import regex
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+        piece = regex.compile(PIECE)
+        for b in batches:
+            spans = [[{"token": m.group(), "start": m.start(), "end": m.end()} for m in piece.finditer(t) if m.group()[0] not in " \t\n\x0b\f\r"] for t in b["body"]]
+            yield b.assign(t=spans)
+
+    texts = docs.select("paper_id", F.coalesce("text", F.lit("")).alias("body"))
+    return texts.mapInPandas(run, "paper_id string, body string, t array<struct<token:string,start:int,end:int>>")
 
 
 def _gram(n: int) -> Callable[[Column], Column]:
@@ -69,7 +78,7 @@ def dictionary_mentions(docs: DataFrame, patterns: DataFrame, most_tokens: int =
     listed = patterns.select("name", "label").distinct().limit(LITERAL_NAMES + 1).collect()  # a bounded number of names
     if len(listed) <= LITERAL_NAMES:
         return _literal_mentions(docs, patterns, sorted({r["name"] for r in listed}), most_tokens)
-    spans = docs.select("paper_id", F.col("text").alias("body"), token_spans(F.col("text")).alias("t"))
+    spans = token_spans(docs)
     grams = []
     for n in range(1, most_tokens + 1):
         at = F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(1)))
@@ -85,26 +94,21 @@ def dictionary_mentions(docs: DataFrame, patterns: DataFrame, most_tokens: int =
 
 
 def _literal_mentions(docs: DataFrame, patterns: DataFrame, names: list[str], most_tokens: int) -> DataFrame:
-    """The same for a short dictionary: n-grams are tested inside the row, offsets are computed for hits only."""
-    pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PIECE), F.lit(1))
-    rows = docs.select("paper_id", F.col("text").alias("body"), pieces.alias("pieces"))
-    tokens = F.filter(F.transform("pieces", lambda x, i: F.struct(F.lower(x).alias("token"), i.alias("at"))), lambda x: ~x["token"].rlike(r"^\s"))
-    rows = rows.withColumn("t", tokens)
+    """The same for a short dictionary: n-grams are tested inside the row, offsets come with the tokens."""
+    rows = token_spans(docs).withColumn("t", F.transform("t", lambda x: F.struct(F.lower(x["token"]).alias("token"), x["start"].alias("start"), x["end"].alias("end"))))
     hits = F.array().cast("array<struct<name:string,first:int,last:int>>")
     for n in range(1, most_tokens + 1):
         known = sorted(x for x in names if len(x.split(" ")) == n)
         if known:
             hits = F.concat(hits, _literal_grams(n, known))
-    found = rows.select("paper_id", "body", "pieces", F.explode(hits).alias("h"))
-    before = lambda k: F.length(F.array_join(F.slice("pieces", F.lit(1), k), ""))
-    spans = found.select("paper_id", "body", F.col("h.name").alias("name"), before(F.col("h.first")).alias("start_char"), before(F.col("h.last") + 1).alias("end_char"))
+    spans = rows.select("paper_id", "body", F.explode(hits).alias("h")).select("paper_id", "body", F.col("h.name").alias("name"), F.col("h.first").alias("start_char"), F.col("h.last").alias("end_char"))
     hit = spans.join(F.broadcast(patterns.select("name", "label").distinct()), "name")
     text = canonical_entity(F.substring("body", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")))
     return hit.select("paper_id", text.alias("text"), "label", F.lit("ruler").alias("source"), "start_char", "end_char")
 
 
 def _literal_grams(n: int, known: list[str]) -> Column:
-    """The n-grams of column t that are known names, plain or with # for numbers: (name, first piece, last piece)."""
+    """The n-grams of column t that are known names, plain or with # for numbers: (name, first character, character behind the last)."""
     number = lambda x: F.when(x["token"].rlike(r"^\d+$"), "#").otherwise(x["token"])
     plain = lambda x: x["token"]
     out = []
@@ -120,11 +124,11 @@ def _literal_grams(n: int, known: list[str]) -> Column:
 
 
 def _single(form: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda x: F.struct(form(x).alias("name"), x["at"].alias("first"), x["at"].alias("last"))
+    return lambda x: F.struct(form(x).alias("name"), x["start"].alias("first"), x["end"].alias("last"))
 
 
 def _joined(n: int, form: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda i: F.struct(F.array_join(F.transform(F.slice("t", i, n), form), " ").alias("name"), F.element_at("t", i)["at"].alias("first"), F.element_at("t", i + (n - 1))["at"].alias("last"))
+    return lambda i: F.struct(F.array_join(F.transform(F.slice("t", i, n), form), " ").alias("name"), F.element_at("t", i)["start"].alias("first"), F.element_at("t", i + (n - 1))["end"].alias("last"))
 
 
 def gene_like(c: Column) -> Column:
@@ -140,13 +144,14 @@ def model_mentions(docs: DataFrame, tag: Callable[[list[str]], list[list[tuple[i
     """
     schema = "paper_id string, span string, tag string, start_char int, end_char int"
     if tag is None:
-        walk = F.aggregate(
-            F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([A-Za-z0-9\-]+|[^A-Za-z0-9\-]+)"), F.lit(1)),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<span:string,start_char:int,end_char:int>>").alias("out")),
-            lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when(p.rlike(r"^[A-Z][A-Z0-9\-]{2,7}$"), F.concat(acc["out"], F.array(F.struct(p.alias("span"), acc["at"].alias("start_char"), (acc["at"] + F.length(p)).alias("end_char"))))).otherwise(acc["out"]).alias("out")),
-            lambda acc: acc["out"],
-        )
-        spans = docs.select("paper_id", F.explode(walk).alias("s")).select("paper_id", "s.span", F.lit("").alias("tag"), "s.start_char", "s.end_char")
+
+        def capitals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Runs that look like names, in one pass over each text."""
+            for b in batches:
+                rows = [(i, m.group(), "", m.start(), m.end()) for i, t in zip(b["paper_id"], b["text"], strict=True) for m in _CAPITALS.finditer(t)]
+                yield pd.DataFrame(rows, columns=["paper_id", "span", "tag", "start_char", "end_char"])
+
+        spans = docs.select("paper_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(capitals, schema)
     else:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -23,8 +23,7 @@ def build(entities: DataFrame) -> Graph:
     """The graph of (paper_id, genes, diseases). Every row is one processing of a paper.
 
     A node counts distinct papers; an edge counts the pairs of list positions in all rows, so a name that
-    is both gene and disease of a paper counts twice with the others. Pairs stay inside a row, and equal
-    pairs are summed before the shuffle.
+    is both gene and disease of a paper counts twice with the others. Equal pairs are summed before the shuffle.
     """
     none = F.array().cast("array<string>")
     genes, diseases = F.array_distinct(F.coalesce("genes", none)), F.array_distinct(F.coalesce("diseases", none))
@@ -33,11 +32,21 @@ def build(entities: DataFrame) -> Graph:
     seen = rows.select("paper_id", F.explode(marks).alias("m")).select("paper_id", "m.entity", "m.k")
     # the first label in order of papers; genes come before diseases within a paper
     nodes = seen.groupBy("entity").agg(F.when(F.min_by("k", F.struct("paper_id", "k")) == 0, "GENE").otherwise("DISEASE").alias("label"), F.count_distinct("paper_id").alias("paper_count"))
-    pairs = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))))
-    edges = rows.where(F.size("all") > 1).select(F.explode(pairs).alias("p")).where("p.a <> p.b").groupBy("p.a", "p.b").agg(F.count("*").alias("weight"))
+    edges = position_pairs(rows.select("all")).groupBy("a", "b").agg(F.count("*").alias("weight"))
     return Graph(nodes, edges, seen.select("entity", "paper_id").distinct())
 
 
+def position_pairs(rows: DataFrame) -> DataFrame:
+    """The other columns with (a, b), a < b, for every two positions of the list `all` with different values.
+
+    The two positions are generated one after the other, so no row ever holds all pairs of a list.
+    """
+    rest = [c for c in rows.columns if c != "all"]
+    first = rows.where(F.size("all") > 1).select(*rest, "all", F.explode(F.sequence(F.lit(1), F.size("all") - 1)).alias("i"))
+    both = first.select(*rest, F.element_at("all", F.col("i")).alias("x"), F.explode(F.slice("all", F.col("i") + 1, F.size("all"))).alias("y"))
+    return both.where("x <> y").select(*rest, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def degrees(g: Graph) -> DataFrame:
     """(entity, label, degree, centrality): degree over the other nodes; 1 in a graph of one node."""
     n = g.nodes.count()
@@ -177,8 +186,7 @@ def grouped_metrics(entities: DataFrame, keys: list[str], hub: float = 0.3) -> D
     marks = F.concat(F.transform("g", lambda x: F.struct(x.alias("entity"), F.lit(0).alias("k"))), F.transform("d", lambda x: F.struct(x.alias("entity"), F.lit(1).alias("k"))))
     seen = rows.select(*keys, "paper_id", F.explode(marks).alias("m")).select(*keys, "paper_id", "m.entity", "m.k")
     nodes = seen.groupBy(*keys, "entity").agg((F.min_by("k", F.struct("paper_id", "k")) == 0).alias("gene"))
-    pairs = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))))
-    edges = rows.where(F.size("all") > 1).select(*keys, F.explode(pairs).alias("p")).where("p.a <> p.b").select(*keys, "p.a", "p.b").distinct()
+    edges = position_pairs(rows.select(*keys, "all")).distinct()
     ends = edges.select(*keys, F.explode(F.array("a", "b")).alias("entity")).groupBy(*keys, "entity").agg(F.count("*").alias("degree"))
     size = nodes.groupBy(*keys).agg(F.count("*").alias("nodes"))
     known = nodes.join(ends, [*keys, "entity"], "left").join(size, keys)

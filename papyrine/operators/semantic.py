@@ -51,6 +51,18 @@ def cache_split(papers: DataFrame, cache: DataFrame, model_id: str) -> tuple[Dat
     return keyed.join(mine, "content_hash"), keyed.join(mine, "content_hash", "left_anti")
 
 
+def unpacked(cache: DataFrame, blob: str = "vector_blob") -> DataFrame:
+    """The cache with its blobs of little-endian float32 as column vector."""
+    rest = [c for c in cache.columns if c != blob]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[rest].assign(vector=[None if x is None or len(x) % 4 else np.frombuffer(x, "<f4").tolist() for x in b[blob]])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cache.schema if f.name != blob)
+    return cache.mapInPandas(run, f"{schema}, vector array<float>")
+
+
 def cached_embeddings(papers: DataFrame, cache: DataFrame, model_id: str, encoder: Callable[[], Encoder]) -> tuple[DataFrame, DataFrame]:
     """(paper_id, source, vector) of all papers, and the cache rows that are new."""
     hit, miss = cache_split(papers, cache, model_id)
@@ -66,60 +78,86 @@ def query_vectors(queries: DataFrame, encoder: Callable[[], Encoder], most_words
     return embed(queries.select(F.col("query_id").alias("key"), text.alias("text")), encoder).withColumnRenamed("key", "query_id")
 
 
-#: Query vectors in one block of the scan: some 3 MB of float32 at 768 dimensions.
-BLOCK_QUERIES = 1024
+#: Query vectors that are sent to all tasks, at most (13 MB of float32 at 768 dimensions); more meet the rows in cells.
+BROADCAST_QUERIES = 4096
+#: Rows and queries in a cell, and queries in one matrix product.
+CELL_ROWS, BLOCK_QUERIES = 16_384, 1024
 
 
-def topk(vectors: DataFrame, queries: DataFrame, top: int = 10, least: float = -1.0) -> DataFrame:
-    """(query_id, id, score, rank): cosine of every query with every vector, the best `top` of each.
+def _units(vectors: pd.Series, dim: int) -> np.ndarray:
+    """Unit vectors; one that is null, of another length, not finite or zero is zero."""
+    out = np.zeros((len(vectors), dim))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == dim:
+            out[i] = v
+    out[~np.isfinite(out).all(1)] = 0.0
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1.0)
 
-    `vectors`: (id, vector), `queries`: (query_id, vector). A stated query set meets all rows in blocks: each
-    block of queries is sent out once, every batch of rows is one matrix product and keeps `top` rows a query,
-    so what is shuffled is queries x batches x top. Vectors of another length or without length score 0.
-    """
-    listed = queries.select("query_id", "vector").orderBy("query_id")
-    out: DataFrame | None = None
-    block: list[tuple] = []
 
-    def scan(part: list[tuple]) -> DataFrame:
-        names = [r[0] for r in part]
-        mat = np.asarray([r[1] for r in part], dtype=np.float64)
-        norm = np.linalg.norm(mat, axis=1, keepdims=True)
-        mat = mat / np.where(norm > 0, norm, 1.0)
+def _best(names: np.ndarray, mat: np.ndarray, rows: pd.DataFrame, top: int) -> Iterator[pd.DataFrame]:
+    """The `top` best of some rows for every query; ties go to the smaller id, so rounding comes first and the order is total."""
+    if not len(rows) or not len(names):
+        return
+    x, ids = _units(rows["vector"], mat.shape[1]), rows["id"].to_numpy()
+    place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    for at in range(0, len(names), BLOCK_QUERIES):
+        s = np.round(mat[at : at + BLOCK_QUERIES] @ x.T, 6)
+        order = np.lexsort((np.broadcast_to(place, s.shape), -s), axis=1)[:, :top]
+        yield pd.DataFrame({"query_id": np.repeat(names[at : at + BLOCK_QUERIES], order.shape[1]), "id": ids[order.ravel()], "score": np.take_along_axis(s, order, 1).ravel()})
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def topk(vectors: DataFrame, queries: DataFrame, top: int = 10, least: float = -1.0, clip: bool = False, broadcast_queries: int = BROADCAST_QUERIES, cell: int = CELL_ROWS) -> DataFrame:
+    """(query_id, id, score, rank): cosine of every query with every vector, the best `top` of each.
+
+    `vectors`: (id, vector), `queries`: (query_id, vector). A counted small query set is sent to all tasks and no
+    vector is shuffled; a larger one meets the rows in cells of bounded size. Either way a batch of rows is one
+    matrix product a block and keeps `top` rows a query. Vectors that are null, of another length, zero or not finite score 0.
+    `clip` brings scores into [0, 1].
+    """
+    spark = vectors.sparkSession
+    kind, qkind = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {qkind}, id {kind}, score double"
+    listed = queries.select("query_id", "vector")
+    n = listed.count()
+    dim = listed.agg(F.max(F.size("vector")).alias("d")).collect()[0]["d"] or 1  # one number
+    if n <= broadcast_queries:
+        sent = listed.orderBy("query_id").toPandas()
+        mat = spark.sparkContext.broadcast((sent["query_id"].to_numpy(), _units(sent["vector"], dim)))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                dim = mat.shape[1]
-                rows = [np.asarray(v, dtype=np.float64) if v is not None and len(v) == dim else np.zeros(dim) for v in b["vector"]]
-                if not rows:
-                    continue
-                x = np.stack(rows)
-                length = np.linalg.norm(x, axis=1, keepdims=True)
-                s = mat @ (x / np.where(length > 0, length, 1.0)).T
-                ids = b["id"].to_numpy()
-                # ties go to the smaller id, so rounding comes first and the order is total
-                s = np.round(s, 6)
-                order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(ids, kind="stable"), kind="stable"), s.shape), -s), axis=1)[:, :top]
-                sim = np.take_along_axis(s, order, 1)
-                yield pd.DataFrame({"query_id": np.repeat(np.asarray(names, dtype=object), order.shape[1]), "id": ids[order.ravel()], "score": sim.ravel()})
-
-        kind = vectors.schema["id"].dataType.simpleString()
-        qkind = queries.schema["query_id"].dataType.simpleString()
-        return vectors.select("id", "vector").mapInPandas(run, f"query_id {qkind}, id {kind}, score double")
-
-    for r in listed.toLocalIterator():
-        block.append((r["query_id"], r["vector"]))
-        if len(block) == BLOCK_QUERIES:
-            out = scan(block) if out is None else out.unionByName(scan(block))
-            block = []
-    if block:
-        out = scan(block) if out is None else out.unionByName(scan(block))
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double, rank int")
+                yield from _best(*mat.value, b, top)
+
+        out = vectors.select("id", "vector").mapInPandas(scan, schema)
+    else:
+
+        def meet(rows: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+            found = list(_best(part["query_id"].to_numpy(), _units(part["vector"], dim), rows, top))
+            return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+        chunks, parts = max(1, -(-vectors.count() // cell)), max(1, -(-n // cell))
+        own = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+        here = vectors.select("id", "vector", own("id", chunks).alias("chunk"), every(parts).alias("part"))
+        there = listed.select("query_id", "vector", own("query_id", parts).alias("part"), every(chunks).alias("chunk"))
+        out = here.groupBy("chunk", "part").cogroup(there.groupBy("chunk", "part")).applyInPandas(meet, schema)
+    if clip:
+        out = out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
     best = W.Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return out.where(F.col("score") >= least).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 
 
+def rank_papers(papers: DataFrame, cache: DataFrame, model_id: str, queries: DataFrame, top: int = 10) -> DataFrame:
+    """(query_id, id, score, rank): papers by the cached vectors of their contents, scores in [0, 1]; a paper without a vector scores 0.
+
+    `papers`: paper_id, source, title, abstract; `cache`: content_hash, model_id, vector. An id is source:paper_id.
+    """
+    keyed = papers.select(F.concat_ws(":", "source", "paper_id").alias("id"), content_hash(F.col("title"), F.col("abstract")).alias("content_hash"))
+    mine = cache.where(F.col("model_id") == model_id).groupBy("content_hash").agg(F.first("vector", ignorenulls=True).alias("vector"))
+    return topk(keyed.join(mine, "content_hash", "left").select("id", "vector"), queries, top, clip=True)
+
+
 def compare_texts(a: str, b: str, encoder: Callable[[], Encoder]) -> float:
     """Cosine of two texts under an encoder."""
     x, y = encoder()([a if a.strip() else " ", b if b.strip() else " "]).astype(np.float64)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions import text as X
 from papyrine.functions import vocabulary as V
-from papyrine.operators import cache, dedup, entities, graph, metrics, semantic, tfidf
+from papyrine.operators import cache, dedup, entities, graph, labels, metrics, semantic, tfidf
 from papyrine.session import ship
 from papyrine.sources import sinks
 
@@ -218,6 +218,21 @@ def _sheet_queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "relevance_sheet").where("query_text is not null").groupBy("query_id").agg(F.min("query_text").alias("query_text"))
 
 
+@query(
+    f"""WITH {_TFIDF.replace("post AS (", "post0 AS (").replace("df AS (SELECT term", "cap AS (SELECT term FROM post0 GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 10000), post AS (SELECT * FROM post0 WHERE term IN (SELECT term FROM cap)), df AS (SELECT term", 1).replace("qpost0 AS", "qpost AS")}, base AS (SELECT doc, term, 1 + ln(tf) AS tfw, ln((1 + n) / (1 + df)) + 1 AS idf FROM post JOIN df USING (term), n),
+norm AS (SELECT doc, sum((tfw * idf) ** 2) AS norm2 FROM base GROUP BY doc), qn AS (SELECT query_id, sqrt(sum(wq ** 2)) AS qnorm FROM q GROUP BY query_id),
+dot AS (SELECT query_id, doc, sum(tfw * idf_q * wq) AS dot, sum((tfw * idf_q) ** 2 - (tfw * idf) ** 2) AS shift FROM base JOIN q USING (term) GROUP BY 1, 2),
+s AS (SELECT query_id, doc, round(greatest(0, least(1, dot / (sqrt(norm2 + shift) * qnorm))), 6) AS score FROM dot JOIN norm USING (doc) JOIN qn USING (query_id)),
+z AS (SELECT query_id, doc, coalesce(score, 0.0) AS score FROM (SELECT query_id, doc FROM qs, dt) LEFT JOIN s USING (query_id, doc)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM z)
+SELECT query_id, doc, score, rank FROM r WHERE rank <= 10"""
+)
+def tfidf_capped(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the 10,000 most frequent terms, papers without a common term in the list with score 0."""
+    docs = papers(spark, d).select(F.concat_ws(":", "source", "paper_id").alias("doc"), "title", "abstract")
+    return tfidf.rank(docs, _sheet_queries(spark, d), keep_zero=True, most_terms=10_000)
+
+
 @query(
     f"""WITH {_TFIDF}, qn AS (SELECT query_id, sqrt(sum(wq ** 2)) AS qnorm FROM q GROUP BY query_id),
 w AS (SELECT query_id, term, round(wq / qnorm, 6) AS weight FROM q JOIN qn USING (query_id)),
@@ -237,7 +252,8 @@ t AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM qt),
 m AS (SELECT paper_id, source, unnest(list_distinct(regexp_extract_all(lower(concat_ws(' ', title, abstract)), '[a-z0-9]+'))) AS term FROM p),
 s AS (SELECT query_id, n_terms, paper_id, source, CAST(count(*) AS INTEGER) AS overlap FROM m JOIN t USING (term) GROUP BY 1, 2, 3, 4),
 b AS (SELECT *, max(overlap) OVER (PARTITION BY query_id) AS best FROM s)
-SELECT query_id, paper_id, source, overlap FROM b WHERE overlap >= CASE WHEN n_terms > 1 AND best >= 2 THEN 2 ELSE 1 END"""
+SELECT query_id, paper_id, source, overlap FROM b WHERE overlap >= CASE WHEN n_terms > 1 AND best >= 2 THEN 2 ELSE 1 END
+UNION ALL SELECT query_id, paper_id, source, 0 FROM qt, p WHERE len(terms) = 0"""
 )
 def keyword_filter(spark: SparkSession, d: str) -> DataFrame:
     return cache.keyword_filter(papers(spark, d), _sheet_queries(spark, d))
@@ -255,6 +271,15 @@ def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
     return semantic.topk(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"))
 
 
+@query()
+def semantic_papers(spark: SparkSession, d: str) -> DataFrame:
+    """The ten papers nearest to every cached vector whose paper number is divisible by 100, by the cached vectors of their contents."""
+    whole = table(spark, d, "embedding_cache").where("octet_length(vector_blob) = 3072 and paper_id is not null")
+    c = semantic.unpacked(whole.select("content_hash", "model_id", "paper_id", "vector_blob"))
+    asked = c.where((F.col("model_id") == "biobert-sts-a") & (F.regexp_extract("paper_id", r"(\d+)(?:v\d+)?$", 1).try_cast("long") % 100 == 0)).groupBy(F.col("paper_id").alias("query_id")).agg(F.min("vector").alias("vector"))
+    return semantic.rank_papers(papers(spark, d), c, "biobert-sts-a", asked)
+
+
 @query("SELECT model_id, count(*) AS n, count(DISTINCT content_hash) AS hashes, count(*) FILTER (octet_length(vector_blob) = 3072) AS full_length FROM embedding_cache GROUP BY model_id")
 def embedding_stats(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "embedding_cache")
@@ -616,3 +641,50 @@ def event_stats(spark: SparkSession, d: str) -> DataFrame:
 def document_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Documents by content: the smallest id of each text and its copies."""
     return table(spark, d, "documents").groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("h")).agg(F.min("doc_id").alias("kept_id"), F.count("*").alias("copies")).drop("h")
+
+
+# --- labels and knowledge base --------------------------------------------------------------------
+
+
+@query("SELECT query_id, count(*) AS rows, count(*) FILTER (relevant IS NULL) AS unlabeled FROM relevance_sheet GROUP BY query_id")
+def unlabeled_rows(spark: SparkSession, d: str) -> DataFrame:
+    return labels.unlabeled(table(spark, d, "relevance_sheet"))
+
+
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in replies to the open rows of the sheet: relevant where both methods place the paper, NA where none does well."""
+    s = table(spark, d, "relevance_sheet").where("relevant is null").select("query_id", labels.docid().alias("docid"), "tfidf_rank", "biobert_rank").distinct()
+    low = F.least(F.coalesce("tfidf_rank", F.lit(99)), F.coalesce("biobert_rank", F.lit(99)))
+    return s.groupBy("query_id", "docid").agg(F.min(F.when(F.col("tfidf_rank").isNotNull() & F.col("biobert_rank").isNotNull(), "1").when(low > 8, "NA").otherwise("0")).alias("relevant"))
+
+
+_REPLIES = f"""s AS (SELECT *, {_TRIM.format("source")} || ':' || {_TRIM.format("paper_id")} AS docid FROM relevance_sheet),
+rep AS (SELECT query_id, docid, min(CASE WHEN tfidf_rank IS NOT NULL AND biobert_rank IS NOT NULL THEN '1' WHEN least(coalesce(tfidf_rank, 99), coalesce(biobert_rank, 99)) > 8 THEN 'NA' ELSE '0' END) AS reply
+  FROM s WHERE relevant IS NULL GROUP BY 1, 2),
+im AS (SELECT s.query_id, s.docid, CASE WHEN relevant IS NOT NULL THEN relevant WHEN reply IN ('0', '1') THEN CAST(reply AS INTEGER) END AS label,
+  CASE WHEN relevant IS NOT NULL THEN 'kept' WHEN reply IN ('0', '1') THEN 'imported' ELSE 'open' END AS origin FROM s LEFT JOIN rep USING (query_id, docid))"""
+
+
+@query(f"WITH {_REPLIES} SELECT query_id, origin, label, count(*) AS rows FROM im GROUP BY ALL")
+def imported_labels(spark: SparkSession, d: str) -> DataFrame:
+    """What importing replies into the label sheet gives: labels there are stay, open rows take 0 or 1, NA leaves them open."""
+    done = labels.imported(table(spark, d, "relevance_sheet"), _replies(spark, d))
+    return done.groupBy("query_id", "origin", F.col("relevant").alias("label")).agg(F.count("*").alias("rows"))
+
+
+@query(f"WITH {_REPLIES} SELECT DISTINCT query_id, docid, 'unknown' AS problem FROM rep WHERE (query_id, docid) NOT IN (SELECT query_id, docid FROM s) UNION ALL SELECT query_id, docid, 'missing' FROM s WHERE relevant IS NULL AND (query_id, docid) NOT IN (SELECT query_id, docid FROM rep WHERE reply <> 'NA') GROUP BY ALL")
+def reply_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Open rows that the usable replies leave out, and replies to no row."""
+    return labels.problems(table(spark, d, "relevance_sheet"), _replies(spark, d).where("relevant <> 'NA'"))
+
+
+@query(f"WITH {PAPERS} SELECT source, count(*) AS papers, count(*) FILTER (trim(coalesce(abstract, '')) <> '') AS with_abstract FROM p GROUP BY source")
+def abstract_counts(spark: SparkSession, d: str) -> DataFrame:
+    p = papers(spark, d)
+    have = cache.has_abstract(p).groupBy("source").agg(F.count("*").alias("with_abstract"))
+    return p.groupBy("source").agg(F.count("*").alias("papers")).join(have, "source", "left").select("source", "papers", F.coalesce("with_abstract", F.lit(0)).alias("with_abstract"))
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT paper_id) AS papers, max(extracted_at) AS latest FROM paper_entities")
+def entity_stats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "paper_entities").agg(F.count("*").alias("rows"), F.count_distinct("paper_id").alias("papers"), F.max("extracted_at").alias("latest"))

@@ -43,7 +43,22 @@ def _plain(c: Column) -> Column:
 
 def pubmed_xml(spark: SparkSession, path: str) -> DataFrame:
     """PubMed article sets as papers; records without id or title are left out."""
-    raw = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(_XML.replace("\n", " ")).load(path)
+    return _pubmed(spark.read.format("xml").option("rowTag", "PubmedArticle").schema(_XML.replace("\n", " ")).load(path))
+
+
+def pubmed_payloads(payloads: DataFrame) -> DataFrame:
+    """The same from payloads (column payload), as the data source of the fetcher gives them."""
+    one = payloads.select(F.explode(F.regexp_extract_all("payload", F.lit(r"(?s)(<PubmedArticle[ >].*?</PubmedArticle>)"), F.lit(1))).alias("x"))
+    return _pubmed(one.select(F.from_xml("x", _XML.replace("\n", " ")).alias("r")).select("r.*"))
+
+
+def search_ids(payloads: DataFrame) -> DataFrame:
+    """(place, paper_id) of id-search replies, in the order of the reply."""
+    ids = F.from_json("payload", "esearchresult struct<idlist:array<string>>")["esearchresult"]["idlist"]
+    return payloads.select(F.posexplode(ids).alias("place", "paper_id"))
+
+
+def _pubmed(raw: DataFrame) -> DataFrame:
     c, a = "MedlineCitation", "MedlineCitation.Article"
     d = f"{a}.Journal.JournalIssue.PubDate"
     authors = F.filter(F.transform(F.col(f"{a}.AuthorList.Author"), lambda x: F.concat_ws(" ", x["LastName"], x["Initials"])), lambda s: s != "")
@@ -66,7 +81,17 @@ def pubmed_xml(spark: SparkSession, path: str) -> DataFrame:
 def preprint_json(spark: SparkSession, path: str, server: str = "biorxiv") -> DataFrame:
     """Preprint pages ({messages, collection}) as papers; items need doi and title."""
     item = "struct<doi:string,title:string,abstract:string,authors:string,date:string,category:string>"
-    raw = spark.read.schema(f"collection array<{item}>").option("multiLine", True).json(path).select(F.explode("collection").alias("i"))
+    return _preprints(spark.read.schema(f"collection array<{item}>").option("multiLine", True).json(path), server)
+
+
+def preprint_payloads(payloads: DataFrame, server: str = "biorxiv") -> DataFrame:
+    """The same from payloads (column payload)."""
+    item = "struct<doi:string,title:string,abstract:string,authors:string,date:string,category:string>"
+    return _preprints(payloads.select(F.from_json("payload", f"collection array<{item}>")["collection"].alias("collection")), server)
+
+
+def _preprints(pages: DataFrame, server: str) -> DataFrame:
+    raw = pages.select(F.explode("collection").alias("i"))
     doi, title = strip(F.col("i.doi")), strip(F.col("i.title"))
     authors = F.when(F.col("i.authors").contains(";"), split_authors(F.col("i.authors"), ";")).otherwise(split_authors(F.col("i.authors"), ","))
     category = strip(F.coalesce("i.category", F.lit("")))
@@ -83,7 +108,17 @@ def preprint_json(spark: SparkSession, path: str, server: str = "biorxiv") -> Da
 def europe_pmc_json(spark: SparkSession, path: str, server: str = "biorxiv") -> DataFrame:
     """Europe PMC preprint results as papers: tags stripped, the year's first day as date."""
     item = "struct<doi:string,title:string,abstractText:string,authorList:struct<author:array<struct<fullName:string>>>,pubYear:string>"
-    raw = spark.read.schema(f"resultList struct<result:array<{item}>>").option("multiLine", True).json(path).select(F.explode("resultList.result").alias("i"))
+    return _europe_pmc(spark.read.schema(f"resultList struct<result:array<{item}>>").option("multiLine", True).json(path), server)
+
+
+def europe_pmc_payloads(payloads: DataFrame, server: str = "biorxiv") -> DataFrame:
+    """The same from payloads (column payload)."""
+    item = "struct<doi:string,title:string,abstractText:string,authorList:struct<author:array<struct<fullName:string>>>,pubYear:string>"
+    return _europe_pmc(payloads.select(F.from_json("payload", f"resultList struct<result:array<{item}>>")["resultList"].alias("resultList")), server)
+
+
+def _europe_pmc(pages: DataFrame, server: str) -> DataFrame:
+    raw = pages.select(F.explode("resultList.result").alias("i"))
     bare = lambda c: strip(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", ""))
     doi = strip(F.col("i.doi"))
     names = F.filter(F.transform(F.col("i.authorList.author"), lambda x: x["fullName"]), lambda s: F.coalesce(s, F.lit("")) != "")
@@ -111,14 +146,17 @@ def label_sheets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _fields(spark: SparkSession, path: str, n: int) -> DataFrame:
-    lines = spark.read.text(path).where("trim(value) <> ''").select(F.split(F.trim("value"), r"\s+").alias("f"), "value")
-    return lines.select(F.when(F.size("f") == n, F.col("f")).otherwise(F.raise_error(F.concat(F.lit(f"not {n} fields: "), F.col("value")))).alias("f"))
+    # a file's splits are read in order, so the ids rise with the lines of a file
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line"))
+    lines = lines.where("trim(value) <> ''").select(F.split(F.trim("value"), r"\s+").alias("f"), "value", "file", "line")
+    return lines.select(F.when(F.size("f") == n, F.col("f")).otherwise(F.raise_error(F.concat(F.lit(f"not {n} fields: "), F.col("value")))).alias("f"), "file", "line")
 
 
 def trec_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, docid, grade) of four-field judgments; the largest grade of a repeated pair counts."""
+    """(qid, docid, grade) of four-field judgments; the last grade of a repeated pair counts, files in order of name."""
     f = _fields(spark, path, 4)
-    return f.select(F.col("f")[0].alias("qid"), F.col("f")[2].alias("docid"), F.col("f")[3].cast("int").alias("grade")).groupBy("qid", "docid").agg(F.max("grade").alias("grade"))
+    rows = f.select(F.col("f")[0].alias("qid"), F.col("f")[2].alias("docid"), F.col("f")[3].cast("int").alias("grade"), F.struct("file", "line").alias("at"))
+    return rows.groupBy("qid", "docid").agg(F.max_by("grade", "at").alias("grade"))
 
 
 def trec_run(spark: SparkSession, path: str) -> DataFrame:

@@ -4,24 +4,69 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import strip
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def _move(spark: SparkSession, old: str, new: str) -> None:
+    fs, at = _at(spark, old)
+    if not fs.rename(at, _at(spark, new)[1]):
+        raise OSError(f"{old} could not be renamed")
+
+
 def swap(df: DataFrame, path: str) -> None:
-    """Writes a whole relation beside the old one and renames it into place, so readers see one or the other."""
+    """Writes a whole relation beside the old one and renames it into place.
+
+    The old relation stays whole until the new one is written whole; if the new one can't be put in its
+    place, the old one is put back. Between the two renames there is no table: readers that must not meet
+    that moment read a version (`publish`, `current`).
+    """
     spark = df.sparkSession
-    jvm = spark._jvm
     old, new, gone = path.rstrip("/"), f"{path.rstrip('/')}.{uuid.uuid4().hex}.new", f"{path.rstrip('/')}.{uuid.uuid4().hex}.old"
     df.write.parquet(new)
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(old).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(at(old)):
-        fs.rename(at(old), at(gone))
-    fs.rename(at(new), at(old))
-    fs.delete(at(gone), True)
+    had = exists(spark, old)
+    if had:
+        _move(spark, old, gone)
+    try:
+        _move(spark, new, old)
+    except Exception:
+        if had:
+            _move(spark, gone, old)
+        raise
+    if had:
+        fs, at = _at(spark, gone)
+        fs.delete(at, True)
+
+
+def publish(df: DataFrame, path: str) -> str:
+    """Writes a whole relation as the next version below `path`; it counts from its success mark on, so readers see the old or the new one."""
+    spark = df.sparkSession
+    last = _versions(spark, path)
+    name = f"{path.rstrip('/')}/v-{(last[-1] if last else 0) + 1:09d}"
+    df.write.mode("overwrite").parquet(name)
+    return name
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, at = _at(spark, f"{path.rstrip('/')}/v-*/_SUCCESS")
+    return sorted(int(f.getPath().getParent().getName()[2:]) for f in fs.globStatus(at) or [])
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The latest whole version below `path`."""
+    return spark.read.parquet(f"{path.rstrip('/')}/v-{_versions(spark, path)[-1]:09d}")
 
 
 def sheet_csv(df: DataFrame, path: str) -> None:
@@ -89,3 +134,25 @@ def report(summary: list[dict], contrast: dict) -> str:
         p = "n/a" if contrast["sign_test_p"] is None else f"{contrast['sign_test_p']:.4f}"
         lines += ["", f"Mean difference {contrast['mean_delta']:.2f}, 95 % interval [{low:.2f}, {high:.2f}], sign test p = {p}. {verdict}"]
     return "\n".join(lines) + "\n"
+
+
+def summary_json(grid: DataFrame, run: dict) -> DataFrame:
+    """An evaluation run as one JSON document: what it was (`run`), and the rows of its grid in order."""
+    rows = F.array_sort(F.collect_list(F.struct(*sorted(grid.columns, key=lambda c: (c != "query_id", c != "method", c)))))
+    head = [F.lit(v).alias(k) for k, v in run.items()]
+    return grid.agg(rows.alias("results")).select(F.to_json(F.struct(*head, F.size("results").alias("n_results"), "results")).alias("value"))
+
+
+def precision_recall_json(per: DataFrame) -> DataFrame:
+    """Per-query precision and recall of each method and their means (query_id, method, precision, recall), as one JSON document."""
+    four = lambda c: F.round(c, 4)
+    rows = per.select("query_id", "method", four("precision").alias("precision"), four("recall").alias("recall"))
+    means = per.groupBy("method").agg(four(F.avg("precision")).alias("precision"), four(F.avg("recall")).alias("recall"))
+    a = rows.agg(F.array_sort(F.collect_list(F.struct("query_id", "method", "precision", "recall"))).alias("queries"))
+    b = means.agg(F.array_sort(F.collect_list(F.struct("method", "precision", "recall"))).alias("means"))
+    return a.join(b, F.lit(True)).select(F.to_json(F.struct("queries", "means")).alias("value"))  # one row each
+
+
+def manifest_json(files: DataFrame) -> DataFrame:
+    """The manifest (path, sha256, bytes) as one JSON document, files in order of path."""
+    return files.agg(F.array_sort(F.collect_list(F.struct("path", "sha256", "bytes"))).alias("files")).select(F.to_json(F.struct(F.size("files").alias("n_files"), "files")).alias("value"))

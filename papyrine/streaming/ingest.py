@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.text import content_hash
 from papyrine.operators.cache import newest_fetch, upsert
-from papyrine.sources.sinks import swap
+from papyrine.operators.graph import position_pairs
+from papyrine.sources.sinks import exists, swap
 
 
 def file_stream(spark: SparkSession, path: str, schema: str | object, most_files: int = 16) -> DataFrame:
@@ -28,10 +29,7 @@ def upsert_into(path: str) -> Callable[[DataFrame, int], None]:
     def apply(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = newest_fetch(batch)
-        try:
-            state = spark.read.parquet(path)
-        except Exception:  # the first batch finds no table
-            state = new.limit(0)
+        state = spark.read.parquet(path) if exists(spark, path) else new.limit(0)  # the first batch finds no table
         swap(upsert(state, new, ["paper_id", "source"]), path)
 
     return apply
@@ -46,5 +44,4 @@ def query_windows(log: DataFrame, width: str = "1 day", late: str = "3 days") ->
 def edge_counts(entities: DataFrame) -> DataFrame:
     """Running edge weights of a stream of (paper_id, genes, diseases); weights add up, so batches may come in any order."""
     names = F.concat(F.array_distinct("genes"), F.array_distinct("diseases"))
-    pairs = F.flatten(F.transform(names, lambda x, i: F.transform(F.slice(names, i + 2, F.size(names)), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))))
-    return entities.select(F.explode(pairs).alias("p")).where("p.a <> p.b").groupBy("p.a", "p.b").agg(F.count("*").alias("weight"))
+    return position_pairs(entities.select(names.alias("all"))).groupBy("a", "b").agg(F.count("*").alias("weight"))
