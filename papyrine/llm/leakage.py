@@ -211,24 +211,29 @@ def least_windows(n: int) -> int:
 
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
 _MOST_SEEN = 200_000
-_seen: dict[str, int] = {}
+
+
+class _Codes(dict):
+    """Words as numbers, each hashed once while there is room."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > _MOST_SEEN:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word)
+        return code
+
+
+_codes = _Codes()
 
 
 def _window_hashes(words: list[str]) -> np.ndarray:
     """The hash of every window."""
-    import xxhash
-
-    if len(words) < WINDOW:
-        return np.empty(0, dtype=np.int64)
-    if len(_seen) > _MOST_SEEN:
-        _seen.clear()
-    codes = np.empty(len(words), dtype=np.uint64)
-    for i, w in enumerate(words):
-        h = _seen.get(w)
-        if h is None:
-            h = _seen[w] = xxhash.xxh64_intdigest(w)
-        codes[i] = h
     n = len(words) - WINDOW + 1
+    if n < 1:
+        return np.empty(0, dtype=np.int64)
+    codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
     out = np.zeros(n, dtype=np.uint64)
     for k in range(WINDOW):
         out += codes[k : k + n] * _POWERS[k]
