@@ -203,3 +203,35 @@ def test_incomparable_kinds_stay_so_and_dates_go_before_precedence(spark):
     out = {r.work: r for r in S.survivors(spark.createDataFrame(papers, SCHEMA), spark.createDataFrame(groups, "id string, work string")).collect()}
     assert [out[k].abstract for k in "uwxy"] == ["A much longer text.", "Last.", "Later.", "Only this."]
     assert out["u"].doi is None and out["u"].doi_ids == 0 and out["w"].abstract_ids == 3
+
+
+def test_keys_are_shuffled_once_and_released(spark, monkeypatch):
+    """The keys of a profile are distinct as they come, only shared ones are written, and shuffle files go when a table is stored."""
+    import os
+
+    from papyrine import session
+
+    twice = "We saw that two kinds of stone occur. They are not alike at all. "
+    p = K.profiles(spark.createDataFrame([paper(f"p{i}", title=f"Grey w{i}a stones", abstract=twice * 3 + f"Only text {i} says so once.", authors=f'["Lee, A", "Own{i}, B"]') for i in range(40)], SCHEMA))
+    p = session.stored(K._enriched(session.stored(p)))
+    keys = K.blocking_keys(p)
+    assert keys.count() == keys.distinct().count() > 0
+    wrote = {}
+    kept = session.stored
+
+    def noted(df, name="t", parts=None, release=False):
+        wrote[name] = kept(df, name, parts, release)
+        return wrote[name]
+
+    monkeypatch.setattr(K, "stored", noted)
+    assert K.candidates(p).count() == 40 * 39 // 2
+    assert wrote["keys"].where("n < 2").count() == 0 and wrote["keys"].count() < keys.count()
+
+    def files():
+        top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return sum(f.startswith("shuffle_") for d in top for _, _, fs in os.walk(d) for f in fs)
+
+    session.released(spark)
+    before = files()
+    session.stored(spark.range(5000).repartition(7, "id"), "t", release=True)
+    assert files() <= before
