@@ -235,3 +235,23 @@ def test_keys_are_shuffled_once_and_released(spark, monkeypatch):
     before = files()
     session.stored(spark.range(5000).repartition(7, "id"), "t", release=True)
     assert files() <= before
+
+
+def test_works_leave_no_shuffle_files(spark):
+    import os
+
+    import pandas as pd
+
+    from papyrine import session
+    from papyrine.llm import queries as Q
+
+    def files():
+        top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return sum(f.startswith("shuffle_") for d in top for _, _, fs in os.walk(d) for f in fs)
+
+    session.released(spark)
+    before = files()
+    assert Q._works(spark.createDataFrame(world(6), SCHEMA)).count() > 0
+    assert files() <= before + 8  # those of the count
+    row = {"id": "x", "doi": None, "own": None, "day": 0.0, "title": "A", "abstract": "B", "authors_json": '["Lee, A"]', "keywords_json": None}
+    assert [len(x) for x in K._read(iter([pd.DataFrame([row] * 2500)]))] == [1000, 1000, 500]
