@@ -37,6 +37,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, BAND_ROWS = 16, 4
 #: Beginnings: shingles of the shortest, and 6 bands of 3 hashes for each, which miss a pair of similarity 0.8 once in 75 times.
 BEGINNING, BEGINNING_BANDS, BEGINNING_ROWS = 24, 6, 3
+#: Texts sketched at once.
+TEXTS = 256
 #: Buckets of more texts are compared in parts.
 BUCKET = 200
 #: Below this share of line ends among its occurrences a closing context tells a cut; at least so many occurrences.
@@ -52,6 +54,7 @@ _STOP = re.compile(r"(?:[.!?][\"'”’»)\]]*|[\"”»>])$")
 _PLACEHOLDER = re.compile(r"^\W*(?:n/?a|none|null|nil|tbd|pending|no (?:text|abstract|content)(?: available)?|(?:text|abstract|content) not available|not available)?\W*$", re.I)
 _TOKEN = re.compile(r"\w+(?:[-./]\w+)*|[^\w\s]")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+(?=[^a-z\s])")
+_WORD = re.compile(r"[^\W_]+")
 _NEXT_LINE = re.compile(r"^\s*[^a-z\s]")
 
 
@@ -67,7 +70,10 @@ def typed(token: str) -> str:
 def _tail(text: str) -> tuple[str, bool]:
     """The text without outer space and marks of a cut, and whether there was a mark."""
     bare = text.strip()
-    cut = _MARK.sub("", bare)
+    at = max(bare.rfind("["), bare.rfind("("))  # no mark has a second one, so the text is not searched
+    if at >= 0 and _MARK.match(bare, at):
+        return bare[:at].rstrip(), True
+    cut = bare[:-1] if bare.endswith("…") else bare.rstrip(".") if bare.endswith("...") else bare
     return cut.rstrip(), cut != bare
 
 
@@ -125,11 +131,11 @@ def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of every text its end, the contexts it asks for, and the bands of the whole and of its beginnings."""
     for b in batches:
         rows = []
-        for digest, text in zip(b["digest"], b["text"], strict=True):
+        sketch = [x for at in range(0, len(b), TEXTS) for x in sketched(b["text"].iloc[at : at + TEXTS].tolist())]
+        for digest, text, (grams, whole, beginnings, longest) in zip(b["digest"], b["text"], sketch, strict=True):
             end = closing(text)
             c3, c2, c1, start = end[1:5]
             asks = [code(c) for c in (c3, c2, c1, start)] + [code(c.split("\x02")[0] + "\x02") for c in (c3, c2) if "\x02" in c] if end[0] in ("open", "marked") else []
-            grams, whole, beginnings, longest = sketches(text)
             rows.append((digest, *end, asks, grams, whole, beginnings, longest if end[0] in ("open", "marked", "stopped") else []))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCANNED.split(", ")])
 
@@ -195,60 +201,115 @@ _A = _RNG.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2
 _B = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
 
 
-def grams(text: str) -> np.ndarray:
-    """The 32-bit hashes of the five-word shingles of a text, in order."""
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_codes: dict[str, int] = {}
+
+
+def _coded(words: list[str]) -> list[int]:
     import xxhash
 
-    words = re.findall(r"[^\W_]+", text.lower())
-    if len(words) < SHINGLE:
-        return np.empty(0, dtype=np.uint64)
-    each = zip(*[words[i:] for i in range(SHINGLE)], strict=False)
-    return np.array([xxhash.xxh32_intdigest(" ".join(g)) for g in each], dtype=np.uint64)
+    if len(_codes) > 200_000:
+        _codes.clear()
+    for w in words:
+        if w not in _codes:
+            _codes[w] = xxhash.xxh64_intdigest(w)
+    return [_codes[w] for w in words]
 
 
-def shingles(text: str) -> np.ndarray:
-    """Their distinct values."""
-    return np.unique(grams(text))
+def _shingled(h: np.ndarray) -> np.ndarray:
+    """The 32-bit hash of every run of five words, from the hashes of the words."""
+    n = max(0, len(h) - SHINGLE + 1)
+    out = h[:n].copy()
+    for i in range(1, SHINGLE):
+        out *= _MIX
+        out ^= out >> np.uint64(29)
+        out += h[i : n + i]
+    out *= _MIX
+    return out >> np.uint64(32)
 
 
-def _lowest(s: np.ndarray, hashes: int) -> np.ndarray:
-    low = np.full(hashes, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(s), 4096):  # long texts in pieces, so that memory stays small
-        low = np.minimum(low, ((s[at : at + 4096, None] * _A[None, :hashes] + _B[None, :hashes]) >> np.uint64(32)).min(0))
-    return low
+def grams(text: str) -> np.ndarray:
+    """The 32-bit hashes of the five-word shingles of a text, in order."""
+    return _shingled(np.array(_coded(_WORD.findall(text.lower())), dtype=np.uint64))
+
 
+def shingles(text: str) -> np.ndarray:
+    """Their distinct values."""
+    return np.unique(grams(text))
 
-def _banded(low: np.ndarray, rows: int, mark: int) -> list[int]:
-    import xxhash
 
-    return [xxhash.xxh64_intdigest(r.tobytes(), mark * 64 + i) - (1 << 63) for i, r in enumerate(low.reshape(-1, rows))]
+def _banded(low: np.ndarray, rows: int, mark: np.ndarray) -> list[list[int]]:
+    """The bands of each row of lowest hashes; `mark` tells kinds of rows apart."""
+    low = low.reshape(len(low), -1, rows)
+    out = (mark[:, None].astype(np.uint64) * np.uint64(64) + np.arange(1, low.shape[1] + 1, dtype=np.uint64)[None, :]) * _MIX
+    for i in range(rows):
+        out = (out ^ (out >> np.uint64(29)) ^ low[:, :, i]) * _MIX
+    return (out ^ (out >> np.uint64(32))).view(np.int64).tolist()
+
+
+def sketched(texts: list[str]) -> list[tuple[int, list[int], list[int], list[int]]]:
+    """(distinct shingles, bands of the whole, bands of all beginnings, bands of the longest one) of every text, in one pass."""
+    words = [_WORD.findall(t.lower()) for t in texts]
+    h = np.array([x for w in words for x in _coded(w)], dtype=np.uint64)
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    n = np.maximum(size - SHINGLE + 1, 0)
+    begin = np.cumsum(n) - n
+    # the shingles inside one text, texts one after the other
+    s = _shingled(h)[np.repeat(np.cumsum(size) - size - begin, n) + np.arange(n.sum())]
+    out: list[tuple[int, list[int], list[int], list[int]]] = [(0, [], [], [])] * len(texts)
+    if not len(s):
+        return out
+    # a stretch for each beginning, from the end of the one before, and one for the rest
+    at: list[int] = []
+    level: list[int] = []
+    firsts: list[int] = []
+    some = np.flatnonzero(n)
+    for i in some:
+        firsts.append(len(at))
+        done, to, k = 0, BEGINNING, 0
+        while to <= n[i]:
+            at.append(begin[i] + done)
+            level.append(k)
+            done, to, k = to, to * 2, k + 1
+        if done < n[i]:
+            at.append(begin[i] + done)
+            level.append(-1)
+    low = np.empty((len(at), BANDS * BAND_ROWS), dtype=np.uint64)
+    for k in range(low.shape[1]):
+        low[:, k] = np.minimum.reduceat((s * _A[k] + _B[k]) >> np.uint64(32), at)
+    whole = _banded(np.minimum.reduceat(low, firsts, axis=0), BAND_ROWS, np.zeros(len(some)))
+    of, depth = low[:, : BEGINNING_BANDS * BEGINNING_ROWS], np.array(level)
+    for k in range(1, depth.max() + 1):
+        mine = np.flatnonzero(depth == k)
+        of[mine] = np.minimum(of[mine], of[mine - 1])
+    bands = _banded(np.ascontiguousarray(of), BEGINNING_ROWS, np.maximum(depth, 0) + 1000)
+    distinct = np.bincount((np.unique((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32)) | s) >> np.uint64(32)).astype(np.int64), minlength=len(n))
+    for j, i in enumerate(some):
+        own = [bands[x] for x in range(firsts[j], firsts[j + 1] if j + 1 < len(firsts) else len(at)) if level[x] >= 0]
+        out[i] = (int(distinct[i]), whole[j], [x for y in own for x in y], own[-1] if own else [])
+    return out
 
 
 def sketches(text: str) -> tuple[int, list[int], list[int], list[int]]:
-    """(distinct shingles, bands of the whole, bands of all beginnings, bands of the longest one) of a text."""
-    s = grams(text)
-    if not len(s):
-        return 0, [], [], []
-    beginnings: list[int] = []
-    longest: list[int] = []
-    of = BEGINNING_BANDS * BEGINNING_ROWS
-    low = np.full(of, np.iinfo(np.uint64).max, dtype=np.uint64)
-    done, size, level = 0, BEGINNING, 0
-    while size <= len(s):
-        low = np.minimum(low, _lowest(s[done:size], of))
-        longest = _banded(low, BEGINNING_ROWS, 1000 + level)
-        beginnings += longest
-        done, size, level = size, size * 2, level + 1
-    u = np.unique(s)
-    return len(u), _banded(_lowest(u, BANDS * BAND_ROWS), BAND_ROWS, 0), beginnings, longest
+    """sketched() of one text."""
+    return sketched([text])[0]
 
 
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of pairs of texts those that are similar, and for each of the two whether it ends early inside a sentence of the other."""
+    known: dict[str, np.ndarray] = {}
+
+    def of(digest: str, text: str) -> np.ndarray:
+        if digest not in known:
+            if len(known) >= TEXTS:
+                known.clear()
+            known[digest] = shingles(text)
+        return known[digest]
+
     for b in batches:
         out = []
         for a, one, c, other in zip(b["a"], b["text_a"], b["b"], b["text_b"], strict=True):
-            x, y = shingles(one), shingles(other)
+            x, y = of(a, one), of(c, other)
             both = len(np.intersect1d(x, y, assume_unique=True))
             if both >= SIMILAR * max(1, min(len(x), len(y))):  # similar as wholes, or the shorter one in the longer
                 out += [(a, ends_early(one, other)), (c, ends_early(other, one))]

@@ -245,3 +245,24 @@ def test_contexts_are_counted_as_listed():
 
     got = next(T._counter(Every)(iter([pd.DataFrame({"text": texts})])))
     assert dict(zip(got["context"], zip(got["n"], got["n_end"], strict=True), strict=True)) == {k: (n, ended[k]) for k, n in want.items()}
+
+
+def test_texts_are_sketched_in_one_pass_and_marks_found_at_the_end():
+    import random
+
+    from papyrine.llm import truncation as U
+
+    rng = random.Random(2)
+    texts = ["", "one two", *[" ".join(rng.choice(["stone", "renal", "gene", "of", "a", f"w{i}"]) for _ in range(n)) for i, n in enumerate((5, 27, 28, 29, 52, 100, 500))]]
+    assert U.sketched(texts) == [U.sketches(t) for t in texts]
+    for t, (n, whole, beginnings, longest) in zip(texts, U.sketched(texts), strict=True):
+        levels = sum(len(U.grams(t)) >= U.BEGINNING << k for k in range(8))
+        assert n == len(U.shingles(t)) and len(whole) == U.BANDS * (n > 0) and len(beginnings) == U.BEGINNING_BANDS * levels
+        assert longest == beginnings[len(beginnings) - U.BEGINNING_BANDS :][: len(longest)] and bool(longest) == bool(levels)
+    a, b = U.sketched([texts[-1], texts[-1] + " and more of it"])
+    assert a[2][: 6 * 4] == b[2][: 6 * 4]  # beginnings do not depend on what follows
+    parts = ["[", "(", "]", ")", "…", "...", ".", "more", " ", "a", "truncated", " (more)", "[...]"]
+    for _ in range(20_000):
+        bare = "".join(rng.choice(parts) for _ in range(rng.randint(0, 8))).strip()
+        cut = U._MARK.sub("", bare)
+        assert U._tail(bare) == (cut.rstrip(), cut != bare)
