@@ -349,7 +349,7 @@ def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, source, state, evidence, terminality, cut) for every document."""
     base = documents.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
     ids = base.select("doc_id", "source", "digest")
-    texts = stored(base.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts")
+    texts = stored(base.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts", release=True)
 
     scanned = stored(texts.select("digest", "text").mapInPandas(_scanned, SCANNED), "scanned")
     ends = scanned.select("digest", "state", "c3", "c2", "c1", "start", "last")
@@ -361,14 +361,16 @@ def judged(documents: DataFrame) -> DataFrame:
     short = scanned.select(F.explode("longest").alias("key"), member.alias("a"))
     pairs = pairs.unionByName(asked(short, scanned.select(F.explode("beginnings").alias("key"), member.alias("b")), BUCKET).where("a.grams < b.grams"))
     pairs = pairs.select(F.least("a.digest", "b.digest").alias("a"), F.greatest("a.digest", "b.digest").alias("b")).distinct()
+    pairs = stored(pairs, "pairs", release=True)
     side = lambda s: texts.select(F.col("digest").alias(s), F.col("text").alias(f"text_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "text_a", "b", "text_b")
     copies = both.mapInPandas(_aligned, "digest string, early boolean").groupBy("digest").agg(F.max("early").alias("early"))
+    copies = stored(copies, "copies", release=True)
 
     # 2. terminality of the open ends, from the counts of all texts
     mask = documents.sparkSession.sparkContext.broadcast(bits(scanned.select(F.explode("asks").alias("ask")), "ask"))
     counts = texts.select("text").mapInPandas(_counter(mask), "context string, n long, n_end long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
-    counts = stored(counts, "contexts")
+    counts = stored(counts, "contexts", release=True)
     opened = ends.where("state in ('open', 'marked')")
     wanted = opened.select(F.explode(F.array("c3", "c2", "c1", "start")).alias("context")).distinct()
     known = stored(counts.join(wanted, "context", "left_semi"), "contexts")
