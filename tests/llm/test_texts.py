@@ -266,3 +266,14 @@ def test_texts_are_sketched_in_one_pass_and_marks_found_at_the_end():
         bare = "".join(rng.choice(parts) for _ in range(rng.randint(0, 8))).strip()
         cut = U._MARK.sub("", bare)
         assert U._tail(bare) == (cut.rstrip(), cut != bare)
+
+
+def test_cuts_that_repeat_in_a_large_corpus_are_found(spark):
+    line = "Treatment of {0} was raised. Treatment of {0} went on. This study of {0} has ended. Neither {1} nor {2} was altered in the follow-up of {0}."
+    whole = [(i, line.format(f"matter{i}", f"XAN{i}", f"SZR{i}"), "s") for i in range(300)]
+    words = "saw heard told knew asked heeded warmed fed led met paid won".split()
+    ends = ["Treatment", "This stud", "Neither KLM{0} nor S", "Neither KLM{0} nor SZR{0} was altered in the follow-", "He {1} {2} zw"]
+    cuts = [(1000 + 10 * k + j, f"Treatment of thing{k}{j} was raised. {end.format(k, *words[2 * k : 2 * k + 2])}", "s") for j, end in enumerate(ends) for k in range(6)]
+    lines = [(2000 + 10 * k + j, f"Treatment of issue{k}{j} was raised. {end.format(k)}", "t") for j, end in enumerate(["Unit {0}, Bldg. B", "Discussion", "Word count: {0}"]) for k in range(6)]
+    got = {r.doc_id for r in T.judged(spark.createDataFrame(whole + cuts + lines, DOCS)).where("cut").collect()}
+    assert got == {i for i, _, _ in cuts}
