@@ -95,3 +95,18 @@ def test_embedding_cache_split_and_writeback(spark):
     assert semantic.cache_split(papers, new, "other")[0].count() == 0
     q = semantic.query_vectors(spark.createDataFrame([("q", "t t. a")], "query_id string, query_text string"), encoder)
     assert len(q.collect()[0].vector) == 16
+
+
+def test_best_of_many_queries_by_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i:03}", f"gene w{i % 5} x{i % 11} y{i} gene") for i in range(120)], "doc string, body string")
+    queries = spark.createDataFrame([(f"q{i}", f"gene w{i} y{i * 7}") for i in range(5)] + [("none", "zebra"), ("few", "y3 y4"), ("blank", " ")], "query_id string, query_text string")
+    for how in ({}, {"keep_zero": True}, {"keep_zero": True, "most_terms": 30}):
+        ask = lambda top, how=how: tfidf.rank(docs, queries, text=docs.body, stop=[], top=top, **how)
+        whole = rows(ask(None).where("rank <= 10"))
+        assert whole and rows(ask(10)) == whole
+        for name, value in (("MOST_TERMS", 7), ("ASKED_TERMS", 8), ("WAITING", 5), ("PIECE", 9)):
+            monkeypatch.setattr(tfidf, name, value)
+        assert rows(ask(10)) == whole
+        monkeypatch.undo()
+    plan = tfidf.rank(docs, queries, text=docs.body, stop=[], top=10, keep_zero=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "dot" not in plan
